@@ -1,6 +1,6 @@
 """The registered queries over the given tables."""
 
 from workload.catalog import ORACLES, QUERIES
-from workload import extraction  # noqa: F401  (registers its queries)
+from workload import cleaning, extraction  # noqa: F401  (importing registers the queries)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -135,3 +135,28 @@ def lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None
         "tag_closedmain_yn": _flag(F.col("l_linestatus") == "F"),
     }
     return _project(df, exprs, LINES, need)
+
+
+def dirty_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with gaps, unreadable amounts and dates, and negative credit notes."""
+    df = headers(spark, sf_dir)
+    key = F.col("idcode")
+    signed = F.when(F.col("tag_table_usage") == "sal_cn", -F.col("amount_local")).otherwise(F.col("amount_local"))
+    return df.withColumns({
+        "party_desc": F.when(key % 7 != 0, F.col("party_desc")),
+        "deptunit_desc": F.when(key % 11 != 0, F.col("deptunit_desc")),
+        "staff_code": F.when(key % 13 != 0, F.col("staff_code")),
+        "amount_local": F.when(key % 17 == 0, F.lit("n/a")).otherwise(signed.cast("string")),
+        "date_trans": F.when(key % 19 == 0, F.lit("bad")).otherwise(F.date_format("date_trans", "yyyy-MM-dd")),
+    })
+
+
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with missing brands, categories and product identifiers."""
+    df = lines(spark, sf_dir)
+    key = F.col("stkcode_unique").cast("long")
+    return df.withColumns({
+        "brand_desc": F.when(key % 10 != 0, F.col("brand_desc")),
+        "stkcate_desc": F.when(key % 15 != 0, F.col("stkcate_desc")),
+        "stkcode_unique": F.when(key % 23 != 0, F.col("stkcode_unique")),
+    })
