@@ -81,7 +81,8 @@ def cyclical(column: str | Column) -> dict[str, Column]:
 
 def elapsed_days(later: str | Column, earlier: str | Column) -> Column:
     """Whole days that have passed between two moments (rounded down)."""
-    return F.timestamp_diff("DAY", _col(earlier), _col(later)).cast("int")
+    micros = F.timestamp_diff("MICROSECOND", _col(earlier), _col(later))
+    return F.floor(micros / F.lit(86_400_000_000)).cast("int")
 
 
 def shifted_month(year: Column, month: Column, by: int) -> dict[str, Column]:
