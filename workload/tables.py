@@ -160,3 +160,23 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stkcate_desc": F.when(key % 15 != 0, F.col("stkcate_desc")),
         "stkcode_unique": F.when(key % 23 != 0, F.col("stkcode_unique")),
     })
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One business question per order, about the order's month or year."""
+    df = headers(spark, sf_dir, ["idcode", "companyfn", "date_trans"])
+    when = F.col("date_trans")
+    year, month = F.date_format(when, "yyyy"), F.date_format(when, "M")
+    templates = [
+        F.concat(F.lit("Show me revenue for "), F.date_format(when, "MMMM"), F.lit(" "), year),
+        F.concat(F.lit("revenue "), F.date_format(when, "MM"), F.lit("/"), year),
+        F.concat(F.lit("revenue report "), month, F.lit("."), year),
+        F.concat(F.lit("revenue "), year),
+        F.concat(F.lit("top customers "), month, F.lit("/"), year),
+        F.lit("bestseller by category"),
+        F.lit("monthly growth"),
+        F.lit("sales trend"),
+        F.lit("hello there"),
+    ]
+    text = F.element_at(F.array(*templates), (F.col("idcode") % len(templates) + 1).cast("int"))
+    return df.select("companyfn", F.col("idcode").alias("prompt_id"), text.alias("prompt"), when.alias("asked_at"))
