@@ -70,26 +70,27 @@ def tag_prompts(prompts: DataFrame, text: str = "prompt") -> DataFrame:
     the route, or only ``general``.
     """
     low = F.lower(F.col(text))
-    dated = low.rlike(DATED) | _has(low, REVENUE_WORDS) | low.rlike(FOUR_DIGIT_WORD)
-    wanted = [
-        ("revenue_report_by_date", dated),
-        ("customer_analysis", _has(low, CUSTOMER_WORDS)),
-        ("product_analysis", _has(low, PRODUCT_WORDS)),
-        ("sales_trend", _has(low, TREND_WORDS)),
-        ("sales_forecast", _has(low, FORECAST_WORDS)),
-    ]
-    found = F.array_compact(F.array(*[F.when(match, F.lit(name)) for name, match in wanted]))
-    targets = F.when(F.size(found) == 0, F.array(F.lit("general"))).otherwise(found)
+    # each keyword list is matched once, into a flag of its own
+    matches = {
+        "revenue_report_by_date": low.rlike(DATED) | _has(low, REVENUE_WORDS) | low.rlike(FOUR_DIGIT_WORD),
+        "customer_analysis": _has(low, CUSTOMER_WORDS),
+        "product_analysis": _has(low, PRODUCT_WORDS),
+        "sales_trend": _has(low, TREND_WORDS),
+        "sales_forecast": _has(low, FORECAST_WORDS),
+    }
+    flagged = prompts.withColumns({f"_{name}": match for name, match in matches.items()})
+    found = F.array_compact(F.array(*[F.when(F.col(f"_{name}"), F.lit(name)) for name in matches]))
+    nothing = ~reduce(Column.__or__, [F.col(f"_{name}") for name in matches])
 
     def view(target: str, cases: list[tuple[str, list[str]]]) -> Column:
         chosen = F.lit("overview")
         for name, words in reversed(cases):
             chosen = F.when(_has(low, words), F.lit(name)).otherwise(chosen)
-        return F.when(F.array_contains(targets, target), chosen)
+        return F.when(F.col(f"_{target}"), chosen)
 
-    return prompts.withColumns({
+    return flagged.withColumns({
         "route": F.when(_has(low, PRODUCT_TREND_WORDS), F.lit("product_trend_analysis")).otherwise(F.lit("insights")),
-        "targets": targets,
+        "targets": F.when(nothing, F.array(F.lit("general"))).otherwise(found),
         "customer_view": view("customer_analysis", [
             ("top", ["top", "most", "best"]), ("repeat", ["repeat", "return"]), ("segment", ["segment"])]),
         "product_view": view("product_analysis", [
@@ -97,7 +98,7 @@ def tag_prompts(prompts: DataFrame, text: str = "prompt") -> DataFrame:
         "trend_view": view("sales_trend", [
             ("monthly", ["monthly"]), ("quarterly", ["quarter"]), ("weekday", ["day"])]),
         "is_data_question": _has(low, DATA_WORDS).cast("int"),
-    })
+    }).drop(*[f"_{name}" for name in matches])
 
 
 def extract_periods(prompts: DataFrame, text: str = "prompt") -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries over the given tables."""
 
 from workload.catalog import ORACLES, QUERIES
-from workload import cleaning, extraction, features, insights, prompts, summaries  # noqa: F401  (importing registers the queries)
+from workload import cleaning, declared, extraction, features, insights, learning, prompts, summaries  # noqa: F401  (importing registers the queries)
 
 __all__ = ["ORACLES", "QUERIES"]
