@@ -62,7 +62,7 @@ def extract_all(headers: DataFrame, lines: DataFrame, out: str, fmt: str = "parq
     """Build and save all seven datasets; returns their names."""
     builders = dataset_builders(headers, lines, **options)
     for name, build in builders.items():
-        save_dataset(build(), f"{out}/{name}.{fmt}", fmt, PARTITIONS[name])
+        save_dataset(build(), f"{out}/{name}.{fmt}", fmt, PARTITIONS[name], whole=True)
     return list(builders)
 
 

@@ -16,14 +16,15 @@ from salesmart.sources.readers import condition_of
 
 @dataclass(frozen=True)
 class DatasetSpec:
-    """``columns`` maps output names to SQL expressions over the sources, which
-    are aliased by table name; with ``group_by`` the rest are aggregates."""
+    """``columns`` maps output names to source columns (sources are aliased by
+    table name).  With ``measures`` they are the group, and each measure is an
+    aggregate's name and the SQL expression it is taken over."""
 
     sources: tuple[str, ...]
     columns: Mapping[str, str]
+    measures: Mapping[str, tuple[str, str]] = field(default_factory=dict)
     join: str | None = None
     filters: Mapping[str, Any] = field(default_factory=dict)
-    group_by: tuple[str, ...] = ()
 
 
 MAIN, DATA = "scm_sal_main", "scm_sal_data"
@@ -60,12 +61,13 @@ SPECS = {
             "brand": "brand_desc",
             "vendor": "stkvendor_desc",
             "transaction_date": "date_trans",
-            "quantity_sold": "SUM(qnty_total)",
-            "revenue": "SUM(amount_local)",
-            "avg_price": "MEAN(price_unitrate_local)",
+        },
+        measures={
+            "quantity_sold": ("sum", "qnty_total"),
+            "revenue": ("sum", "amount_local"),
+            "avg_price": ("mean", "price_unitrate_local"),
         },
         filters={"tag_void_yn": "n"},
-        group_by=("companyfn", "product_code", "product_name", "category", "brand", "vendor", "transaction_date"),
     ),
     "sales_trend": DatasetSpec(
         (MAIN,),
@@ -74,12 +76,13 @@ SPECS = {
             "transaction_date": "date_trans",
             "business_unit": "deptunit_code",
             "salesperson": "staff_code",
-            "total_transactions": "COUNT(1)",
-            "total_revenue": "SUM(amount_local)",
-            "avg_transaction_value": "MEAN(amount_local)",
+        },
+        measures={
+            "total_transactions": ("count", "1"),
+            "total_revenue": ("sum", "amount_local"),
+            "avg_transaction_value": ("mean", "amount_local"),
         },
         filters={"tag_void_yn": "n", "tag_table_usage": ["sal_inv", "sal_soc"]},
-        group_by=("companyfn", "transaction_date", "business_unit", "salesperson"),
     ),
     "customer_retention": DatasetSpec(
         (MAIN,),
@@ -87,27 +90,24 @@ SPECS = {
             "companyfn": "companyfn",
             "customer_id": "party_unique",
             "customer_name": "party_desc",
-            "first_purchase_date": "MIN(date_trans)",
-            "last_purchase_date": "MAX(date_trans)",
-            "total_purchases": "COUNT(DISTINCT uniquenum_pri)",
-            "total_spent": "SUM(amount_local)",
-            "avg_purchase_value": "MEAN(amount_local)",
-            "active_months": "COUNT(DISTINCT year(date_trans) * 100 + month(date_trans))",
+        },
+        measures={
+            "first_purchase_date": ("min", "date_trans"),
+            "last_purchase_date": ("max", "date_trans"),
+            "total_purchases": ("distinct", "uniquenum_pri"),
+            "total_spent": ("sum", "amount_local"),
+            "avg_purchase_value": ("mean", "amount_local"),
+            "active_months": ("distinct", "year(date_trans) * 100 + month(date_trans)"),
         },
         filters={"tag_void_yn": "n", "tag_table_usage": ["sal_inv"]},
-        group_by=("companyfn", "customer_id", "customer_name"),
     ),
 }
 
 
-def _aggregate(text: str):
-    """SUM and MEAN go through exact decimals; anything else is plain SQL."""
-    name, _, argument = text.partition("(")
-    if name == "SUM":
-        return as_double_sum(F.expr(argument.rstrip(")")))
-    if name == "MEAN":
-        return exact_mean(F.expr(argument.rstrip(")")))
-    return F.expr(text)
+AGGREGATES = {
+    "sum": as_double_sum, "mean": exact_mean, "min": F.min, "max": F.max, "count": F.count,
+    "distinct": F.countDistinct,
+}
 
 
 def build_dataset(spec: DatasetSpec, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -117,11 +117,11 @@ def build_dataset(spec: DatasetSpec, tables: Mapping[str, DataFrame]) -> DataFra
         df = df.join(tables[name].alias(name), F.expr(spec.join), "inner")
     if spec.filters:
         df = df.where(condition_of(spec.filters))
-    if not spec.group_by:
-        return df.select(*[F.expr(text).alias(name) for name, text in spec.columns.items()])
-    keys = [F.expr(spec.columns[name]).alias(name) for name in spec.group_by]
-    measures = [_aggregate(text).alias(name) for name, text in spec.columns.items() if name not in spec.group_by]
-    return df.groupBy(*keys).agg(*measures)
+    columns = [F.col(source).alias(name) for name, source in spec.columns.items()]
+    if not spec.measures:
+        return df.select(*columns)
+    return df.groupBy(*columns).agg(*[
+        AGGREGATES[kind](F.expr(over)).alias(name) for name, (kind, over) in spec.measures.items()])
 
 
 def with_trend_calendar(trend: DataFrame) -> DataFrame:

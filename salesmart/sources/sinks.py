@@ -10,15 +10,16 @@ from salesmart.sources.readers import FORMATS
 
 
 def save_dataset(df: DataFrame, path: str, fmt: str = "parquet",
-                 partition_by: Sequence[str] = ("companyfn",), mode: str = "overwrite") -> None:
+                 partition_by: Sequence[str] = ("companyfn",), whole: bool = False) -> None:
     """Write a dataset as a folder of ``fmt`` files, partitioned by tenant.
 
-    With ``partitionOverwriteMode=dynamic`` only the partitions present in
-    ``df`` are replaced.
+    Only the partitions present in ``df`` are replaced; with ``whole`` the
+    folder afterwards holds ``df`` and nothing else.
     """
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
-    writer = df.write.mode(mode).format(fmt)
+    writer = df.write.mode("overwrite").format(fmt)
+    writer = writer.option("partitionOverwriteMode", "static" if whole else "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
     keys = [c for c in partition_by if c in df.columns]

@@ -42,21 +42,30 @@ def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, ou
     months = cut(touched_months(changed_headers))
     some = rows_of_months(headers, months)
     line_months = months if changed_lines is None else cut(months.unionByName(touched_months(changed_lines)).distinct())
-    parts = {
-        "sales_trend": cleaning.trend_calendar(extraction.sales_trend(some)),
-        "sales_data": cleaning.clean_lines(extraction.sales_lines(rows_of_months(lines, line_months))),
-        "monthly_revenue": extraction.monthly_revenue(some),
+    dated = {
+        "sales_trend": (cleaning.trend_calendar(extraction.sales_trend(some)), months),
+        "sales_data": (cleaning.clean_lines(extraction.sales_lines(rows_of_months(lines, line_months))), line_months),
+        "monthly_revenue": (extraction.monthly_revenue(some), months),
     }
-    for name, df in parts.items():
-        _replace(df, f"{out}/{name}.parquet", jobs.PARTITIONS.get(name, ["companyfn", "year", "month"]))
+    for name, (df, due) in dated.items():
+        _replace(df, f"{out}/{name}.parquet", due)
     report = load_dataset(headers.sparkSession, f"{out}/monthly_revenue.parquet")
     save_dataset(cleaning.revenue_levels(report), f"{out}/revenue_report_by_date.parquet", "parquet",
-                 jobs.PARTITIONS["revenue_report_by_date"])
+                 jobs.PARTITIONS["revenue_report_by_date"], whole=True)
 
 
-def _replace(df: DataFrame, path: str, keys: list[str]) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*keys).parquet(path))
+def _replace(df: DataFrame, path: str, due: DataFrame) -> None:
+    """Overwrite the partitions of ``df`` and drop due months that have no rows left."""
+    save_dataset(df, path, "parquet", ["companyfn", "year", "month"])
+    kept = load_dataset(df.sparkSession, path).select(
+        "companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct()
+    fresh = cut(df.select("companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct())
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    # one folder name per emptied month, usually none
+    for row in due.join(kept, MONTH, "left_semi").join(fresh, MONTH, "left_anti").toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/companyfn={row[0]}/year={row[1]}/month={row[2]}")
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def daily(headers: DataFrame, lines: DataFrame, as_of: str, out: str, model_dir: str, days: int = 30,
@@ -68,7 +77,11 @@ def daily(headers: DataFrame, lines: DataFrame, as_of: str, out: str, model_dir:
     def recent(df: DataFrame) -> DataFrame:
         return df.where((F.col("date_trans") >= start) & (F.col("date_trans") <= end))
     changed = cut(recent(headers))
-    refresh(headers, lines, changed, out, recent(lines))
+    latest_lines = recent(lines)
+    save_dataset(cleaning.clean_main(extraction.sales_main(changed)), f"{out}/sales_main_latest.parquet", whole=True)
+    save_dataset(cleaning.clean_lines(extraction.sales_lines(latest_lines)), f"{out}/sales_data_latest.parquet",
+                 whole=True)
+    refresh(headers, lines, changed, out, latest_lines)
     if changed.count() <= RETRAIN_ABOVE["main"]:
         return {}
     retention = extraction.customer_retention(headers)
