@@ -89,16 +89,21 @@ def sales_lines(lines: DataFrame, companyfn: str | None = None, uniquenum_pri: s
 
 def _header_lines(headers: DataFrame, lines: DataFrame, companyfn: str | None, date_from: str | None,
                   date_to: str | None, types: Sequence[str] | None) -> DataFrame:
-    """Valid lines of valid headers, joined on order and tenant."""
+    """Valid lines of valid headers, joined on order and tenant.
+
+    Lines stored without a tenant column belong to the tenant of their header.
+    """
     main = headers.where((F.col("tag_void_yn") == "n") & _between(F.col("date_trans"), date_from, date_to))
     data = lines.where(F.col("tag_void_yn") == "n")
     if companyfn:
         main = main.where(F.col("companyfn") == companyfn)
-        data = data.where(F.col("companyfn") == companyfn)
     if types:
         main = main.where(F.col("tag_table_usage").isin(list(types)))
-    same = (F.col("main.uniquenum_pri") == F.col("data.uniquenum_pri")) & (
-        F.col("main.companyfn") == F.col("data.companyfn"))
+    same = F.col("main.uniquenum_pri") == F.col("data.uniquenum_pri")
+    if "companyfn" in data.columns:
+        same = same & (F.col("main.companyfn") == F.col("data.companyfn"))
+        if companyfn:
+            data = data.where(F.col("companyfn") == companyfn)
     return main.alias("main").join(data.alias("data"), same, "inner")
 
 
@@ -118,33 +123,41 @@ def sales_with_details(headers: DataFrame, lines: DataFrame, companyfn: str | No
     return _sorted(df, ordered, F.desc("main_date_trans"), "row_item_num")
 
 
+# fixed values: names of the customer facts and where they come from
+CUSTOMER_FACTS = {
+    "companyfn": "main.companyfn",
+    "uniquenum_pri": "main.uniquenum_pri",
+    "customer_id": "main.party_unique",
+    "customer_code": "main.party_code",
+    "customer_name": "main.party_desc",
+    "transaction_date": "main.date_trans",
+    "product_code": "data.stkcode_code",
+    "product_name": "data.stkcode_desc",
+    "category_code": "data.stkcate_code",
+    "category_name": "data.stkcate_desc",
+    "brand_code": "data.brand_code",
+    "brand_desc": "data.brand_desc",
+    "quantity": "data.qnty_total",
+    "unit_price": "data.price_unitrate_local",
+    "line_amount": "data.amount_local",
+    "transaction_type": "main.tag_table_usage",
+    "business_unit": "main.deptunit_code",
+    "salesperson": "main.staff_code",
+}
+
+
 def customer_facts(headers: DataFrame, lines: DataFrame, companyfn: str | None = None,
                    date_from: str | None = None, date_to: str | None = None,
-                   ordered: bool = False) -> DataFrame:
-    """One row per order line of a customer, with product and calendar parts."""
+                   columns: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
+    """One row per order line of a customer, with product and calendar parts.
+
+    With ``columns`` only those are built, so the sources need not hold the rest.
+    """
     joined = _header_lines(headers, lines, companyfn, date_from, date_to, ORDER_TYPES)
-    df = joined.select(
-        F.col("main.companyfn"),
-        F.col("main.uniquenum_pri"),
-        F.col("main.party_unique").alias("customer_id"),
-        F.col("main.party_code").alias("customer_code"),
-        F.col("main.party_desc").alias("customer_name"),
-        F.col("main.date_trans").alias("transaction_date"),
-        *[part.alias(name) for name, part in
-          calendar("main.date_trans", "year", "month", "quarter", "day_of_week").items()],
-        F.col("data.stkcode_code").alias("product_code"),
-        F.col("data.stkcode_desc").alias("product_name"),
-        F.col("data.stkcate_code").alias("category_code"),
-        F.col("data.stkcate_desc").alias("category_name"),
-        F.col("data.brand_code"),
-        F.col("data.brand_desc"),
-        F.col("data.qnty_total").alias("quantity"),
-        F.col("data.price_unitrate_local").alias("unit_price"),
-        F.col("data.amount_local").alias("line_amount"),
-        F.col("main.tag_table_usage").alias("transaction_type"),
-        F.col("main.deptunit_code").alias("business_unit"),
-        F.col("main.staff_code").alias("salesperson"),
-    )
+    names = [n for n in CUSTOMER_FACTS if columns is None or n in columns]
+    df = joined.select(*[F.col(CUSTOMER_FACTS[n]).alias(n) for n in names])
+    if "transaction_date" in names:
+        df = df.withColumns(calendar("transaction_date", "year", "month", "quarter", "day_of_week"))
     return _sorted(df, ordered, F.desc("transaction_date"))
 
 

@@ -92,7 +92,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column,
     for i, fraction in enumerate(fractions):
         place = (F.col(SIZE) - 1) * F.lit(float(fraction))
         share = place - F.floor(place)
-        edges.append(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * share)
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        # measured from the nearer end, so that a place a hair below a value's gives that value
+        edges.append(F.when(share < 0.5, low + (high - low) * share).otherwise(high - (high - low) * (1 - share)))
     return ends.select(*keys, F.array(*edges).alias(name))
 
 

@@ -29,7 +29,7 @@ SELECT m.companyfn, m.party_unique AS customer_id, m.party_desc AS customer_name
 FROM hdr m JOIN lin d ON m.uniquenum_pri = d.uniquenum_pri AND m.companyfn = d.companyfn
 WHERE m.tag_void_yn = 'n' AND d.tag_void_yn = 'n' AND m.tag_table_usage IN ('sal_soe', 'sal_soc', 'sal_inv')""")
 def _(spark, sf_dir):
-    return plain(build(spark, sf_dir, "customer_analysis", FACT_HEADER_COLUMNS, FACT_LINE_COLUMNS))
+    return plain(build(spark, sf_dir, "customer_analysis", FACT_HEADER_COLUMNS, ["companyfn", *FACT_LINE_COLUMNS]))
 
 
 @query("declared_product_analysis", with_tables(HDR, LIN) + """

@@ -17,9 +17,10 @@ RETENTION_COLUMNS = ["uniquenum_pri", "companyfn", "tag_table_usage", "party_uni
 TREND_COLUMNS = ["companyfn", "tag_table_usage", "party_unique", "date_trans", "amount_local",
                  "deptunit_code", "deptunit_desc", "staff_code", "tag_void_yn"]
 FACT_HEADER_COLUMNS = RETENTION_COLUMNS + ["deptunit_code", "staff_code"]
-FACT_LINE_COLUMNS = ["uniquenum_pri", "companyfn", "stkcode_code", "stkcode_desc", "stkcate_code",
+FACT_LINE_COLUMNS = ["uniquenum_pri", "stkcode_code", "stkcode_desc", "stkcate_code",
                      "stkcate_desc", "brand_code", "brand_desc", "qnty_total", "price_unitrate_local",
                      "amount_local", "tag_void_yn"]
+PRODUCT_HEADER_COLUMNS = ["uniquenum_pri", "companyfn", "tag_table_usage", "party_unique", "date_trans", "tag_void_yn"]
 PRODUCT_LINE_COLUMNS = FACT_LINE_COLUMNS + ["stkvendor_code", "stkvendor_desc"]
 
 # monthly revenue (needs HDR)
@@ -101,13 +102,18 @@ def retention(spark, sf_dir, **options):
     return ex.customer_retention(headers(spark, sf_dir, RETENTION_COLUMNS), **options)
 
 
-def facts(spark, sf_dir):
-    return ex.customer_facts(headers(spark, sf_dir, FACT_HEADER_COLUMNS),
-                             lines(spark, sf_dir, FACT_LINE_COLUMNS))
+def facts(spark, sf_dir, *columns):
+    """Customer facts, or only some columns of them and only the tables those need."""
+    sources = [ex.CUSTOMER_FACTS[c].split(".") for c in columns or ex.CUSTOMER_FACTS]
+    main = {"uniquenum_pri", "companyfn", "tag_void_yn", "tag_table_usage", "date_trans"}
+    data = {"uniquenum_pri", "tag_void_yn"}
+    main |= {c for side, c in sources if side == "main"}
+    data |= {c for side, c in sources if side == "data"}
+    return ex.customer_facts(headers(spark, sf_dir, main), lines(spark, sf_dir, data), columns=columns or None)
 
 
 def product_day(spark, sf_dir):
-    return ex.product_daily(headers(spark, sf_dir, FACT_HEADER_COLUMNS),
+    return ex.product_daily(headers(spark, sf_dir, PRODUCT_HEADER_COLUMNS),
                             lines(spark, sf_dir, PRODUCT_LINE_COLUMNS))
 
 

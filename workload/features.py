@@ -12,6 +12,10 @@ from workload.tables import headers
 
 FACTS = with_tables(HDR, LIN, JOINED, FACTS_SQL)
 PRODUCTS = with_tables(HDR, LIN, JOINED, PRODUCT_SQL)
+# what each feature table reads
+RFM_FACTS = ["companyfn", "customer_id", "uniquenum_pri", "transaction_date", "line_amount"]
+CUSTOMER_FEATURE_FACTS = ["companyfn", "customer_id", "transaction_date", "line_amount", "quantity", "product_code",
+                          "category_code", "brand_code"]
 PAIRS = [("total_spent", "total_quantity"), ("total_purchase_days", "customer_lifetime_days"),
          ("total_spent", "no_such_column")]
 
@@ -47,7 +51,7 @@ featured AS (
   GROUP BY companyfn, customer_id)""",
   rfm_sql("base", "recency", "frequency", "monetary", "companyfn, customer_id", "companyfn")) + "SELECT * FROM rfm")
 def _(spark, sf_dir):
-    return plain(ft.rfm_features(facts(spark, sf_dir)))
+    return plain(ft.rfm_features(facts(spark, sf_dir, *RFM_FACTS)))
 
 
 @query("temporal_features", with_tables(HDR) + f"""
@@ -90,7 +94,7 @@ def _(spark, sf_dir):
 
 @query("customer_features", with_tables(HDR, LIN, JOINED, FACTS_SQL, CUSTOMER_FEATURES_SQL) + "SELECT * FROM featured")
 def _(spark, sf_dir):
-    return plain(ft.customer_features(facts(spark, sf_dir)), {"std_order_value": 4})
+    return plain(ft.customer_features(facts(spark, sf_dir, *CUSTOMER_FEATURE_FACTS)), {"std_order_value": 4})
 
 
 @query("lag_features", PRODUCTS + """
@@ -146,7 +150,7 @@ SELECT companyfn, customer_id, total_spent, total_quantity, total_purchase_days,
     AS total_purchase_days_div_customer_lifetime_days
 FROM featured""")
 def _(spark, sf_dir):
-    base = ft.customer_features(facts(spark, sf_dir)).select(
+    base = ft.customer_features(facts(spark, sf_dir, *CUSTOMER_FEATURE_FACTS)).select(
         "companyfn", "customer_id", "total_spent", "total_quantity", "total_purchase_days", "customer_lifetime_days")
     return plain(ft.interaction_features(base, PAIRS))
 
@@ -160,7 +164,7 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY companyfn, customer_id, kind ORD
         UNION ALL SELECT companyfn, customer_id, 'brand', brand_desc, COUNT(*) FROM facts GROUP BY ALL))
 WHERE rn = 1 GROUP BY companyfn, customer_id""")
 def _(spark, sf_dir):
-    return plain(ft.favorites(facts(spark, sf_dir)))
+    return plain(ft.favorites(facts(spark, sf_dir, "companyfn", "customer_id", "category_name", "brand_desc")))
 
 
 @query("seasonality_index", PRODUCTS + """

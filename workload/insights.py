@@ -10,7 +10,7 @@ from workload.cleaning import RFM_SQL
 from workload.extraction import (
     FACTS_SQL, PRODUCT_SQL, RETENTION_SQL, REVENUE_SQL, TREND_SQL, facts, product_day, retention, revenue, trend,
 )
-from workload.features import CUSTOMER_FEATURES_SQL
+from workload.features import CUSTOMER_FEATURE_FACTS, CUSTOMER_FEATURES_SQL
 from workload.summaries import AS_OF, TREND_SUMMARY_SQL, VALID, trend_slots
 from workload.tables import headers
 
@@ -32,12 +32,13 @@ WHERE rank <= 10"""
 
 @query("top_customers", FACTS + top_sql("facts", "customer_name", "line_amount"))
 def _(spark, sf_dir):
-    return plain(ins.top_customers(facts(spark, sf_dir)))
+    return plain(ins.top_customers(facts(spark, sf_dir, "companyfn", "customer_name", "line_amount")))
 
 
 @query("top_customers_month", FACTS + top_sql("facts", "customer_name", "line_amount", "month = 2 AND year = 1998"))
 def _(spark, sf_dir):
-    return plain(ins.top_customers(facts(spark, sf_dir), month=2, year=1998))
+    return plain(ins.top_customers(
+        facts(spark, sf_dir, "companyfn", "customer_name", "line_amount", "transaction_date"), month=2, year=1998))
 
 
 @query("repeat_rate", FACTS + """
@@ -46,7 +47,7 @@ SELECT companyfn, COUNT(*) FILTER (days > 1) AS repeat_customers, COUNT(*) AS cu
 FROM (SELECT companyfn, customer_id, COUNT(DISTINCT transaction_date) AS days FROM facts GROUP BY ALL)
 GROUP BY companyfn""")
 def _(spark, sf_dir):
-    return plain(ins.repeat_rate(facts(spark, sf_dir)))
+    return plain(ins.repeat_rate(facts(spark, sf_dir, "companyfn", "customer_id", "transaction_date")))
 
 
 @query("segment_distribution", with_tables(HDR, RETENTION_SQL, RFM_SQL) + """
@@ -62,7 +63,7 @@ SELECT companyfn, COUNT(DISTINCT customer_id) AS total_customers, {total('line_a
   {total('line_amount')} / COUNT(DISTINCT customer_id) AS avg_customer_value
 FROM facts GROUP BY companyfn""")
 def _(spark, sf_dir):
-    return plain(ins.customer_overview(facts(spark, sf_dir)))
+    return plain(ins.customer_overview(facts(spark, sf_dir, "companyfn", "customer_id", "line_amount")))
 
 
 @query("top_products", PRODUCTS + top_sql("product_day", "product_name", "revenue"))
@@ -125,7 +126,7 @@ def _(spark, sf_dir):
 @query("high_risk_customers", with_tables(HDR, LIN, JOINED, FACTS_SQL, CUSTOMER_FEATURES_SQL) + """
 SELECT companyfn, COUNT(*) FILTER (churn_risk = 'High') AS at_risk_customers FROM featured GROUP BY companyfn""")
 def _(spark, sf_dir):
-    return plain(ins.high_risk_customers(ft.customer_features(facts(spark, sf_dir))))
+    return plain(ins.high_risk_customers(ft.customer_features(facts(spark, sf_dir, *CUSTOMER_FEATURE_FACTS))))
 
 
 @query("naive_forecast", TREND + f"""

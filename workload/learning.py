@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from salesmart.operators import churn, features, forecast, models, recommend
 from workload.catalog import HDR, plain, query, with_tables
 from workload.cleaning import CIRCLE, CIRCLE_SQL
+from workload.features import RFM_FACTS
 from workload.extraction import RETENTION_SQL, TREND_SQL, facts, retention, trend
 
 CHURN_SQL = """prepared AS (
@@ -121,10 +122,10 @@ def _(spark, sf_dir):
 
 @query("customer_clusters")
 def _(spark, sf_dir):
-    return plain(recommend.customer_clusters(features.rfm_features(facts(spark, sf_dir)))[1])
+    return plain(recommend.customer_clusters(features.rfm_features(facts(spark, sf_dir, *RFM_FACTS)))[1])
 
 
 @query("product_recommendations")
 def _(spark, sf_dir):
-    bought = facts(spark, sf_dir)
+    bought = facts(spark, sf_dir, "companyfn", "customer_id", "product_code", "quantity")
     return recommend.recommendations(recommend.purchase_scores(recommend.train_recommender(bought), bought))
