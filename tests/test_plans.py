@@ -1,0 +1,51 @@
+"""What the physical plans must and must not contain."""
+
+import pytest
+
+from workload import QUERIES
+
+NO_LEARNING = [n for n in sorted(QUERIES) if not n.startswith(("churn_p", "churn_m", "churn_f", "churn_i", "forecast_m",
+               "forecast_i", "sales_forecast", "weekly_forecast", "customer_clusters", "product_recommendations"))]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def plans(spark, sf_dir):
+    return {name: plan_of(QUERIES[name](spark, sf_dir)) for name in NO_LEARNING}
+
+
+def test_no_python_in_any_plan(plans):
+    for name, plan in plans.items():
+        assert "Python" not in plan and "ArrowEval" not in plan and "MapInPandas" not in plan, name
+
+
+def test_no_nested_loop_over_tables(plans):
+    """Only joins with one-row aggregates may lack an equality."""
+    for name, plan in plans.items():
+        assert "CartesianProduct" not in plan, name
+
+
+def test_no_window_gathers_a_whole_table(plans):
+    for name, plan in plans.items():
+        lines = plan.splitlines()
+        for i, text in enumerate(lines):
+            if " Window [" in text or "+- Window [" in text:
+                below = "\n".join(lines[i:i + 4])
+                assert "Exchange SinglePartition" not in below or "_offset" in text or "_pieces" in text, name
+
+
+def test_top_reports_limit_before_the_shuffle(plans):
+    for name in ("top_customers", "top_products", "product_potential_top"):
+        assert "WindowGroupLimit" in plans[name] and "Partial" in plans[name], name
+
+
+def test_filters_and_columns_reach_the_scan(plans):
+    assert "PushedFilters: [IsNotNull(o_orderpriority)" in plans["table_filter_in"] or "In(o_orderpriority" in plans["table_filter_in"]
+    revenue = plans["revenue_month"]
+    assert "l_orderkey" not in revenue and "c_name" not in revenue and "r_name" not in revenue
+    assert "GreaterThanOrEqual(l_shipdate" in plans["market_overview"]
+    assert "part.parquet" not in plans["customer_summary"] and "supplier.parquet" not in plans["top_customers"]
+    assert "part.parquet" not in plans["top_customers"]
