@@ -21,6 +21,7 @@ def build_session(app: str = "salesmart", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # files are compressed: judge broadcasts by what a table takes in memory
         .config("spark.sql.sources.fileCompressionFactor", "8.0")
     )

@@ -14,15 +14,19 @@ def save_dataset(df: DataFrame, path: str, fmt: str = "parquet",
     """Write a dataset as a folder of ``fmt`` files, partitioned by tenant.
 
     Only the partitions present in ``df`` are replaced; with ``whole`` the
-    folder afterwards holds ``df`` and nothing else.
+    folder afterwards holds ``df`` and nothing else.  Rows are brought together
+    by partition first, so that not every task writes a file into every folder;
+    adaptive execution splits a partition that is too large for one task.
     """
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
+    keys = [c for c in partition_by if c in df.columns]
+    if keys:
+        df = df.hint("rebalance", *keys)
     writer = df.write.mode("overwrite").format(fmt)
     writer = writer.option("partitionOverwriteMode", "static" if whole else "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
-    keys = [c for c in partition_by if c in df.columns]
     if keys:
         writer = writer.partitionBy(*keys)
     writer.save(path)

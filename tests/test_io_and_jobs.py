@@ -23,6 +23,13 @@ def source(spark, sf_dir):
     return h.persist(), l.persist()
 
 
+@pytest.fixture(scope="module")
+def half_year(source):
+    """Documents of six months, so that the tests write few folders."""
+    span = "date_trans >= '1999-01-01' AND date_trans < '1999-07-01'"
+    return source[0].where(span), source[1].where(span)
+
+
 @pytest.mark.parametrize("fmt", readers.FORMATS)
 def test_save_and_load(spark, tmp_path, fmt):
     df = spark.createDataFrame([("A", 1, 2.5), ("B", 2, None)], "companyfn string, n int, v double")
@@ -60,7 +67,7 @@ def test_table_reads(spark):
 
 
 def test_full_job_then_training(spark, source, tmp_path):
-    names = jobs.extract_all(*source, f"{tmp_path}/out")
+    names = jobs.extract_all(*source, f"{tmp_path}/out", date_from="2000-09-01")
     for name in names:
         assert readers.load_dataset(spark, f"{tmp_path}/out/{name}.parquet").count() > 0, name
     retention = readers.load_dataset(spark, f"{tmp_path}/out/customer_retention.parquet")
@@ -82,8 +89,8 @@ def report(spark, path):
     return {(r["companyfn"], r["year"], r["month"]): (r["amt_local"], r["num_transactions"]) for r in df.collect()}
 
 
-def test_refresh_touches_only_its_months(spark, source, tmp_path):
-    h, l = source
+def test_refresh_touches_only_its_months(spark, half_year, tmp_path):
+    h, l = half_year
     out = str(tmp_path)
     refresh.refresh(h, l, h, out)
     before = report(spark, out)
@@ -107,10 +114,10 @@ def test_daily_job(spark, source, tmp_path):
     assert set(result) <= {"churn", "forecast"}
 
 
-def test_stream_of_headers(spark, source, tmp_path):
-    h, l = source
+def test_stream_of_headers(spark, half_year, tmp_path):
+    h, l = half_year
     inbox, table, out = f"{tmp_path}/inbox", f"{tmp_path}/headers", f"{tmp_path}/out"
-    early, late = h.where("date_trans < '1999-01-01'"), h.where("date_trans >= '1999-01-01'")
+    early, late = h.where("date_trans < '1999-04-15'"), h.where("date_trans >= '1999-04-15'")
     for part in (early, late):
         part.coalesce(1).write.mode("append").parquet(inbox)
         arriving = spark.readStream.schema(HEADERS).parquet(inbox)

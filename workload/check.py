@@ -41,9 +41,9 @@ def oracle(sf_dir: str):
     return con
 
 
-def compare(spark, con, name: str, sf_dir: str) -> str:
+def compare(spark, con, name: str, sf_dir: str, df=None) -> str:
     """'' when equal, else what differs."""
-    df = QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir) if df is None else df
     ours = _rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in ORACLES:
         return "" if ours[1] else "no rows"
