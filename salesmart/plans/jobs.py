@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from salesmart.operators import churn, cleaning, extraction, forecast, models, trends
 from salesmart.schemas import HEADERS, LINES
-from salesmart.session import build_session, cut
+from salesmart.session import build_session, cut, drop_cuts
 from salesmart.sources.readers import load_dataset
 from salesmart.sources.sinks import save_dataset, save_report
 
@@ -147,6 +147,7 @@ def main(argv: list[str] | None = None) -> None:
             retention = retention.where(F.col("companyfn") == args.companyfn)
             history = history.where(F.col("companyfn") == args.companyfn)
         train_models(retention, history, args.out, args.model, args.tune)
+    drop_cuts(spark)
 
 
 if __name__ == "__main__":

@@ -20,7 +20,7 @@ def attach(fact: DataFrame, figures: DataFrame, keys: list[str], how: str = "lef
            max_bytes: int = MAX_BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Join ``figures`` (one row per key) to every row of ``fact``.
 
-    ``figures`` is computed once into the checkpoint folder and its size is
+    ``figures`` is written once to the checkpoint folder and its size is
     looked at.  Small enough, it is broadcast and the fact does not move.
     Beyond the bound both sides are shuffled on the key plus a salt, so a key
     that owns a third of the fact is spread over ``salts`` tasks.

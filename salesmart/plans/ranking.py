@@ -28,7 +28,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[Column],
     for that many equal rows, and the position is that of the first of them.
 
     1. range-partition on (keys, order) and keep the partition number, in a
-       checkpoint, so that a retried task cannot move the borders;
+       written table, so that a retried task cannot move the borders;
     2. count rows per (partition, group).  A group that lies in one partition
        needs nothing more.  Each border is crossed by at most one group, so
        the groups that do span partitions have at most two rows per partition:

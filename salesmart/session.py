@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,6 @@ def build_session(app: str = "salesmart", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # files are compressed: judge broadcasts by what a table takes in memory
         .config("spark.sql.sources.fileCompressionFactor", "8.0")
     )
@@ -32,28 +32,39 @@ def build_session(app: str = "salesmart", master: str | None = None,
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``.
+_scratch: dict[str, str] = {}  # application id -> scratch folder of a local session
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """This application's part of the folder named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a scratch folder of its
     own; a cluster must name storage that all executors share.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="salesmart-checkpoint-")
-    context.setCheckpointDir(configured)
+        folder = _scratch.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(
+            prefix="salesmart-checkpoint-")
+        _scratch[spark.sparkContext.applicationId] = folder
+    return f"{folder.rstrip('/')}/salesmart-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Write ``df`` to the shared folder and go on from the written table.
 
-    Survives the loss of executors, and freezes anything that depends on the
-    physical layout (partition ids).
+    The rows are computed once, survive the loss of executors, and anything
+    that depends on the physical layout (partition ids) is frozen.  Readers of
+    a few columns read only those.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete what this application has cut; call it when its results are saved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
