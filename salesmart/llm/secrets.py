@@ -1,0 +1,205 @@
+"""Secret scans: fixed patterns, and guess costs of values in credential context.
+
+Three kinds of spans are found by pattern alone (``assign``, ``access``,
+``hex``).  The fourth, ``guess``, looks at values that follow a wider set of
+credential words, may hold any sign, and are not covered by an ``assign`` span.
+A dynamic program finds the cheapest way to guess such a value as a chain of
+known words, dates, repeats, keyboard walks and brute-force characters; values
+that cost more than ``LEAST_COST`` are reported.  Placeholders such as
+``changeme`` or ``qwerty123`` stay below.
+
+Null texts count as empty and have no spans.  Spans are in code points of the
+whole text, end exclusive; repeated rows give repeated results.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from salesmart.llm.common import arrow_text, ship, slices
+
+KINDS = ("assign", "access", "hex", "guess")
+
+# fixed patterns of the base kinds
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                    re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")   # the maximal runs of 24 or more
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+# credential words before a value, and the values' form
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
+                     r"""|private[_-]?key|client[_-]?secret|credentials?)["']?\x20*[:=]\x20*["']?([!-~]{8,128})""",
+                     re.IGNORECASE | re.ASCII)
+CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
+LEAST_COST = 10.0     # log10 of guesses
+
+# words tried first by guessers, in order of rank
+WORDS = ("password", "admin", "welcome", "letmein", "login", "master", "dragon", "monkey", "shadow", "sunshine",
+         "princess", "football", "baseball", "superman", "batman", "iloveyou", "trustno", "hello", "freedom",
+         "whatever", "secret", "default", "changeme", "change", "example", "test", "guest", "root", "user", "pass",
+         "token", "key", "none", "null", "true", "false", "your", "here", "insert", "replace", "placeholder",
+         "redacted", "hidden", "string", "value", "required", "optional", "undefined", "enter", "please", "my",
+         "the", "is", "not", "set", "this", "new", "old", "temp", "demo", "sample", "summer", "winter", "spring",
+         "autumn", "monday", "friday", "january", "june", "july", "love", "money", "star", "blue", "black", "red",
+         "green", "white", "angel", "tiger", "ninja", "mustang", "access", "computer", "internet", "server")
+KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+
+_rank = {w: i + 1 for i, w in enumerate(WORDS)}
+_longest = max(map(len, WORDS))
+_steps = {a + b for row in KEY_ROWS for a, b in zip(row + row[::-1], row[1:] + row[::-1][1:])} | {
+    a + b for up, low in zip(KEY_ROWS[1:], KEY_ROWS[2:]) for x, y in zip(up, low) for a, b in ((x, y), (y, x))}
+_plain = str.maketrans("@4301$5!7", "aaeoissit")
+_date = re.compile(r"(19|20)\d\d(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])(0[1-9]|1[0-2])(19|20)\d\d"
+                   r"|(19|20)\d\d[-/.](0?[1-9]|1[0-2])[-/.](0?[1-9]|[12]\d|3[01])|(19|20)\d\d")
+
+
+def _brute(c: str) -> float:
+    """log10 of the alphabet a character comes from."""
+    return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
+
+
+def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+    """log10 of the guesses for the cheapest segmentation, and that segmentation.
+
+    Cost of a chain: the sum of its segments' logarithms, and the logarithm of
+    the number of ways to order so many segments.
+    """
+    n = len(value)
+    low = value.lower()
+    plain = low.translate(_plain)
+    ends: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]   # by end: (start, kind, cost)
+    for i in range(n):
+        ends[i + 1].append((i, "brute", _brute(value[i])))
+        for j in range(i + 2, min(n, i + _longest) + 1):
+            for text, extra in ((low, 0.0), (plain, 0.5)):
+                rank = _rank.get(text[i:j])
+                if rank:
+                    case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() else 0.8
+                    ends[j].append((i, "word", math.log10(rank + 1) + case + extra))
+        j = i + 1
+        while j < n and value[j] == value[i]:
+            j += 1
+        if j - i >= 3:
+            ends[j].append((i, "repeat", _brute(value[i]) + math.log10(j - i)))
+        j = i + 1
+        while j < n and low[j - 1:j + 1] in _steps:
+            j += 1
+        for k in range(i + 3, j + 1):
+            ends[k].append((i, "walk", math.log10(47) + (k - i - 1) * math.log10(1.7)))
+        m = _date.match(value, i)
+        if m:
+            ends[m.end()].append((i, "date", math.log10(365 * 120 if m.end() - i > 4 else 120)))
+    for size in range(2, n // 2 + 1):       # a block of several characters said again
+        for i in range(n - 2 * size + 1):
+            if value[i:i + size] == value[i + size:i + 2 * size]:
+                ends[i + 2 * size].append((i + size, "repeat", math.log10(n)))
+    best: list[tuple[float, int, str, int]] = [(0.0, 0, "", 0)]
+    for j in range(1, n + 1):
+        # a run of brute characters is one segment, so only a change of kind adds an ordering cost
+        best.append(min((best[i][0] + cost + (0.0 if kind == "brute" and best[i][2] == "brute" else 0.3), i, kind,
+                         best[i][3] + 1) for i, kind, cost in ends[j]))
+    chain, j = [], n
+    while j:
+        cost, i, kind, _ = best[j]
+        if kind == "brute" and chain and chain[-1][0] == "brute":
+            chain[-1] = ("brute", i, chain[-1][2])
+        else:
+            chain.append((kind, i, j))
+        j = i
+    return best[n][0], chain[::-1]
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the three pattern kinds."""
+    low = text.lower()
+    found = []
+    if any(w in low for w in ASSIGN_WORDS):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(found)
+
+
+def guessed_spans(text: str, base: list[tuple[int, int, int]], least_cost: float) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of costly values in credential context that no ``assign`` span touches."""
+    low = text.lower()
+    if not any(w in low for w in CONTEXT_WORDS):
+        return []
+    out = []
+    for m in CONTEXT.finditer(text):
+        value = m.group(2).rstrip("\"',;.)")
+        start, end = m.start(2), m.start(2) + len(value)
+        if len(value) >= 8 and not any(s < end and start < e for s, kind, e in base if kind == 0) \
+                and guess_cost(value)[0] >= least_cost:
+            out.append((start, 3, end))
+    return out
+
+
+def listed(spans) -> str:
+    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
+
+
+def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text", least_cost: float = LEAST_COST) -> DataFrame:
+    """Per document the columns ``keep``, counts per base kind, a digest of the base spans, and all spans."""
+    ship(docs.sparkSession)
+
+    def scan(batches):
+        for part in slices(batches, "__text"):
+            rows = []
+            for value in arrow_text(part.column("__text")).to_pylist():
+                base = base_spans(value)
+                every = sorted(base + guessed_spans(value, base, least_cost))
+                rows.append((*(sum(k == kind for _, k, _ in base) for kind in range(3)),
+                             hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
+            n_assign, n_access, n_hex, digest, spans = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in keep), pa.array(n_assign, pa.int64()), pa.array(n_access, pa.int64()),
+                 pa.array(n_hex, pa.int64()), pa.array(digest), pa.array(spans)],
+                names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = chosen.schema
+    for name, kind in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"),
+                       ("spans", "string")):
+        schema = schema.add(name, kind)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInArrow(scan, schema)
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[secret]", least_cost: float = LEAST_COST) -> DataFrame:
+    """Every document, its secrets in ``text`` replaced; overlapping spans are replaced as one.
+
+    ``n_chars`` follows the text where there is such a column; null texts stay null.
+    """
+    ship(docs.sparkSession)
+    names = docs.columns
+
+    def redact(batches):
+        for part in slices(batches):
+            out = []
+            for value in part.column("text").to_pylist():
+                base = base_spans(value or "")
+                spans = sorted(base + guessed_spans(value or "", base, least_cost))
+                if spans:
+                    pieces, at, until = [], 0, -1
+                    for start, _, end in spans:
+                        if start >= until:
+                            pieces += [value[at:start], mask]
+                        at = until = max(until, end)
+                    value = "".join(pieces) + value[at:]
+                out.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.string()) if c == "text" else part.column(c) for c in names], names=names)
+
+    result = docs.mapInArrow(redact, docs.schema)
+    if "n_chars" in names:
+        result = result.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(
+            docs.schema["n_chars"].dataType))
+    return result
