@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,22 +31,12 @@ def build_session(app: str = "salesmart", master: str | None = None,
     return builder.getOrCreate()
 
 
-_scratch: dict[str, str] = {}  # application id -> scratch folder of a local session
-
-
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """This application's part of the folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a scratch folder of its
-    own; a cluster must name storage that all executors share.
+    Where that is unset, the warehouse is used, which all executors share too.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = _scratch.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(
-            prefix="salesmart-checkpoint-")
-        _scratch[spark.sparkContext.applicationId] = folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/salesmart-{spark.sparkContext.applicationId}"
 
 
@@ -59,12 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     a few columns read only those.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cuts(spark: SparkSession) -> None:
     """Delete what this application has cut; call it when its results are saved."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -53,5 +53,5 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 
 def test_contract(spark):
-    assert set(contract.oracle_sql()) <= set(contract.queries()) == set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries()) >= set(QUERIES)
     assert contract.entry(spark).count() > 0
