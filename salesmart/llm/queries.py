@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import quality, secrets, sharding, toxicity
+import corpus_pipeline
+from salesmart.llm import ann, decontam, jaccard, packing, quality, secret_scan, sharding, toolcalls, toxicity
 from salesmart.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +25,54 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_shortest_pack_first")
+def op1_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+
+
+@query("op2_cross_polytope")
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+#: the tool that the conversations are read as calls of
+TOOLS = {"answer": {"required": ["query", "turn"],
+                    "properties": {"query": "string", "size": "integer", "turn": "integer"}}}
+
+
+@query("op3_tool_calls")
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as calls and results: what a user says is a call, what the assistant says next its result.
+
+    A call refers to one at about half its turn, so the order is a tree in every conversation.
+    """
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    earlier = F.expr("turn div 4 * 2 + turn % 2")
+    calls = turns.where("role = 'user'").select(
+        "conv_id", F.concat(F.lit("call_"), "turn").alias("call_id"), F.col("turn").alias("position"),
+        F.lit("answer").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("size"), "turn")).alias("arguments"),
+        F.when(earlier < F.col("turn"), F.array(F.concat(F.lit("call_"), earlier))).otherwise(
+            F.array().cast("array<string>")).alias("refers"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"),
+        F.col("text").alias("content"))
+    return toolcalls.link_tool_calls(calls, results, TOOLS)
+
+
+@query("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near-duplicates and the number of its links."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "class_id", "n_links")
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and a digest of the base kinds, and all spans."""
-    return secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
 
 
 @query("op6_histogram_shards")
@@ -41,6 +86,13 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op7_benchmark_leaks")
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a fifth of the labels is held out."""
@@ -57,3 +109,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(fold("doc_id", 3) != 1)
     model = quality.train_quality(docs.where("NOT held_out"), labels)
     return quality.score_quality(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
