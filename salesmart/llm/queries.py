@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from salesmart.llm import ann, decontam, jaccard, packing, quality, secret_scan, sharding, toolcalls, toxicity
+from salesmart.llm import ann, decontam, jaccard, packing, quality, secret_scan, sharding, suffixes, toolcalls, toxicity
 from salesmart.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,12 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 bytes and more that stand in an earlier one."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a fifth of the labels is held out."""
