@@ -45,7 +45,7 @@ from salesmart.session import cut
 
 LENGTH, MER = 50, 16
 STEPS = LENGTH - MER + 1            # anchors that a string may have
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
+CHUNK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 HASH_BITS, HASH_BYTES = 48, 6
 NULL_ID = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -59,9 +59,11 @@ class Chunk:
         self.ids = ids
         n = len(self.buf)
         count = np.maximum(np.diff(self.offs) - LENGTH + 1, 0)
-        self.string_doc = np.repeat(np.arange(len(ids)), count)
+        place = np.int32 if n < 1 << 31 else np.int64
+        self.string_doc = np.repeat(np.arange(len(ids), dtype=place), count)
         #: where each string starts, and its anchor
-        self.strings = np.arange(count.sum()) + np.repeat(self.offs[:-1] - np.cumsum(count) + count, count)
+        self.strings = np.arange(count.sum(), dtype=place)
+        self.strings += np.repeat((self.offs[:-1] - np.cumsum(count) + count).astype(place), count)
         if not len(self.strings):
             self.anchor_of = self.strings
             self.anchors, self.names = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -70,6 +72,7 @@ class Chunk:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         h = mix((sums[MER:] - sums[:-MER]) * down[:n - MER + 1])
+        del sums
         least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)     # ties go to the first
         reach = 1
         while 2 * reach <= STEPS:
@@ -77,12 +80,12 @@ class Chunk:
             reach *= 2
         if STEPS > reach:
             least = np.minimum(least[:-(STEPS - reach)], least[STEPS - reach:])
-        self.anchor_of = (least[self.strings] & _LOW).astype(np.int64)
+        self.anchor_of = (least[self.strings] & _LOW).astype(place)
         new = np.ones(len(self.strings), bool)
         new[1:] = self.anchor_of[1:] != self.anchor_of[:-1]
         self.first = np.flatnonzero(new)                 # first string of each anchor
         self.last = np.append(self.first[1:], len(new)) - 1
-        self.anchors = self.anchor_of[self.first]
+        self.anchors = self.anchor_of[self.first].astype(np.int64)
         self.names = (h[self.anchors] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +109,7 @@ class Chunk:
         """
         at = np.searchsorted(shared, self.names)
         chosen = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == self.names) if len(shared) else at[:0]
-        row_of = np.full(len(self.strings), -1)
+        row_of = np.full(len(self.strings), -1, np.int32)
         if not len(chosen):
             return np.zeros((0, LENGTH + STEPS + 1), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), row_of
         anchor = self.anchors[chosen]
@@ -383,7 +386,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 hit = np.flatnonzero(row_of >= 0)
                 row = row_of[hit]
                 start = chunk.strings[hit]
-                gone = ((bits[row] >> (chunk.anchor_of[hit] - start)) & 1).astype(bool)
+                gone = ((bits[row] >> (chunk.anchor_of[hit] - start).astype(np.int64)) & 1).astype(bool)
                 gone |= chunk.ids[chunk.string_doc[hit]] > ids[row]      # a smaller id in this chunk
                 edge = np.bincount(start[gone], minlength=len(chunk.buf) + 1) - np.bincount(
                     start[gone] + LENGTH, minlength=len(chunk.buf) + 1)
