@@ -268,9 +268,20 @@ def _names(blob: bytes) -> np.ndarray:
     return raw.view("<i8").ravel()
 
 
-def _chunk(batch, i: int) -> Chunk:
-    texts = batch.column("texts").slice(i, 1).flatten()
-    return Chunk(arrow_text(texts), np.asarray(batch.column("ids").slice(i, 1).flatten()))
+def _pack(keys: pa.Array, texts: pa.Array) -> bytes:
+    """A chunk's ids and texts as one compressed Arrow stream: large rows are small for the JVM."""
+    batch = pa.RecordBatch.from_arrays([keys, texts], names=["key", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunk(batch, i: int) -> tuple[Chunk, pa.Array]:
+    """A chunk, and its documents' ids as they were."""
+    rows = pa.ipc.open_stream(batch.column("body")[i].as_buffer()).read_all().combine_chunks()
+    keys = rows.column("key").combine_chunks()
+    return Chunk(arrow_text(rows.column("text")), pc.fill_null(keys, NULL_ID).to_numpy(zero_copy_only=False)), keys
 
 
 def _shared(chunk: Chunk, flags: list[dict], width: int) -> np.ndarray:
@@ -295,15 +306,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         held, size = [], 0
 
         def row():
-            ids, keys, texts = (pa.concat_arrays([h[k] for h in held]) for k in range(3))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), c) for c in (ids, keys, texts)]
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), *lists],
-                                              names=["chunk", "ids", "keys", "texts"])
+            keys, texts = (pa.concat_arrays([h[k] for h in held]) for k in range(2))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + number]), pa.array([size]), pa.array([_pack(keys, texts)], pa.binary())],
+                names=["chunk", "bytes", "body"])
 
         for part in slices(batches, limit=CHUNK_BYTES // 4):
             text = arrow_text(part.column("text"))
-            keys = part.column("doc_id")
-            held.append((pc.fill_null(keys, NULL_ID), keys, text))
+            held.append((part.column("doc_id"), text))
             size += pc.sum(pc.binary_length(text)).as_py() or 0
             if size >= CHUNK_BYTES or sum(len(h[0]) for h in held) >= 100_000:
                 yield row()
@@ -312,15 +322,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield row()
 
     chunks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        gather, "chunk long, ids array<long>, keys array<long>, texts array<string>"))
-    total = chunks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t)))).first()[0]
+        gather, "chunk long, bytes long, body binary"))
+    total = chunks.agg(F.sum("bytes")).first()[0]
     ranges = max(1, -(-(total or 0) // RANGE_BYTES))
     width = -(-(1 << HASH_BITS) // ranges)
 
     def names(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found, _ = _chunk(batch, i).distinct()
+                found, _ = _chunk(batch, i)[0].distinct()
                 raw = found.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
                 which, first = np.unique(found // width, return_index=True)
                 bounds = [*first, len(found)]
@@ -344,7 +354,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                  pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
                 names=["chunk", "range", "bits"])
 
-    flags = cut(chunks.select("chunk", "ids", "texts").mapInArrow(names, "chunk long, range long, names binary")
+    flags = cut(chunks.select("chunk", "body").mapInArrow(names, "chunk long, range long, names binary")
                 .repartition("range").sortWithinPartitions("range", "chunk")
                 .mapInArrow(common, "chunk long, range long, bits binary"))
     flags = flags.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("flags"))   # one chunk's
@@ -352,7 +362,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def runs(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = _chunk(batch, i)
+                chunk, keys = _chunk(batch, i)
                 rows, ids, found, _ = chunk.entries(_shared(chunk, batch.column("flags")[i].as_py() or [], width))
                 which = found % ranges
                 used = np.unique(which)
@@ -369,7 +379,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                  pa.array([b.astype("<i8").tobytes() for b in bits], pa.binary())], names=["chunk", "range", "bits"])
 
     flagged = chunks.join(flags, "chunk", "left")
-    decided = cut(flagged.select("chunk", "ids", "texts", "flags").mapInArrow(runs, "chunk long, range long, run binary")
+    decided = cut(flagged.select("chunk", "body", "flags").mapInArrow(runs, "chunk long, range long, run binary")
                   .repartition("range").sortWithinPartitions("range", "chunk")
                   .mapInArrow(decide, "chunk long, range long, bits binary"))
     decided = decided.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
@@ -377,7 +387,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def remove(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = _chunk(batch, i)
+                chunk, keys = _chunk(batch, i)
                 rows, ids, found, row_of = chunk.entries(
                     _shared(chunk, batch.column("flags")[i].as_py() or [], width))
                 bits = np.zeros(len(rows), np.int64)
@@ -400,7 +410,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     out.append((int(b - a), n, spans, hashlib.sha256(kept).hexdigest(), kept))
                 n_bytes, n_removed, n_spans, digest, kept = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("keys").slice(i, 1).flatten(), pa.array(n_bytes, pa.int64()),
+                    [keys, pa.array(n_bytes, pa.int64()),
                      pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest),
                      *([pa.array(kept, pa.binary())] if with_text else [])],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
