@@ -86,7 +86,8 @@ class Chunk:
         self.first = np.flatnonzero(new)                 # first string of each anchor
         self.last = np.append(self.first[1:], len(new)) - 1
         self.anchors = self.anchor_of[self.first].astype(np.int64)
-        self.names = (h[self.anchors] >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        # hashed once more: the least of many hashes are small, and ranges of names should be even
+        self.names = (mix(h[self.anchors] + np.uint64(1)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct names in order, and for each whether several documents here have it."""
