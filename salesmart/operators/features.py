@@ -101,19 +101,17 @@ def customer_features(facts: DataFrame, scope: str = "tenant", include_lowest: b
 
 def lag_features(df: DataFrame, value: str, date: str = "transaction_date",
                  group: Sequence[str] = (), lags: Sequence[int] = (1, 7, 30),
-                 ties: Sequence[str] = (), max_group_rows: int = 1_000_000,
-                 block_rows: int = 100_000) -> DataFrame:
+                 ties: Sequence[str] = (), block_rows: int = 100_000) -> DataFrame:
     """The value ``n`` rows earlier in date order; groups may be of any size."""
     def columns(window):
         return {f"{value}_lag_{n}": F.lag(value, n).over(window) for n in lags}
     order = [F.col(c) for c in (date, *ties)]
-    return over_rows(df, list(group), order, max(lags), columns, max_group_rows, block_rows)
+    return over_rows(df, list(group), order, max(lags), columns, block_rows)
 
 
 def rolling_features(df: DataFrame, value: str, date: str = "transaction_date",
                      group: Sequence[str] = (), windows: Sequence[int] = (7, 30, 90),
-                     ties: Sequence[str] = (), max_group_rows: int = 1_000_000,
-                     block_rows: int = 100_000) -> DataFrame:
+                     ties: Sequence[str] = (), block_rows: int = 100_000) -> DataFrame:
     """Mean and sample deviation of the last ``n`` rows in date order.
 
     The mean of a decimal column is taken from its exact sum.
@@ -132,7 +130,7 @@ def rolling_features(df: DataFrame, value: str, date: str = "transaction_date",
             out[f"{value}_rolling_std_{n}"] = F.stddev_samp(F.col(value).cast("double")).over(frame)
         return out
     order = [F.col(c) for c in (date, *ties)]
-    return over_rows(df, list(group), order, max(windows) - 1, columns, max_group_rows, block_rows)
+    return over_rows(df, list(group), order, max(windows) - 1, columns, block_rows)
 
 
 def interaction_features(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

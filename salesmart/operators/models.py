@@ -129,7 +129,7 @@ def _fit_and_score(df: DataFrame, estimator: Estimator, features: list[str], cat
 
 def train_classifier(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
                      algorithm: str = "random_forest", categorical: Sequence[str] = (), tune: bool = False,
-                     folds: int = 5, num_trees: int = 100, max_depth: int = 10,
+                     folds: int = 5, num_trees: int = 100, max_depth: int = 30,
                      grid: dict[str, list] | None = None, parallelism: int = 4) -> Trained:
     """Random forest or logistic regression with weighted metrics."""
     if algorithm == "random_forest":
@@ -149,7 +149,7 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, keys: S
 
 def train_regressor(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str],
                     algorithm: str = "random_forest", categorical: Sequence[str] = (), folds: int = 5,
-                    num_trees: int = 100, max_depth: int = 10, parallelism: int = 4) -> Trained:
+                    num_trees: int = 100, max_depth: int = 30, parallelism: int = 4) -> Trained:
     """Random forest or linear regression with squared, absolute and R2 figures."""
     if algorithm == "random_forest":
         estimator = RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees,

@@ -105,13 +105,12 @@ def extract_periods(prompts: DataFrame, text: str = "prompt") -> DataFrame:
     """Add ``period_kind`` (month, year or null), ``period_year``, ``period_month``.
 
     A year alone counts only from 2000 on and when no month is named; of
-    several the last one wins.  It is looked for in the prompt's first line.
+    several the last one wins, wherever in the prompt it stands.
     A numeric month goes before a named one.
     """
     low = F.lower(F.col(text))
     numeric, named = low.rlike(NUMERIC_PERIOD), low.rlike(NAMED_PERIOD)
-    head = F.substring_index(low, "\n", 1)
-    year_only = ~head.rlike(NUMERIC_PERIOD) & ~head.rlike(MONTH_THEN_YEAR) & head.rlike(LAST_YEAR)
+    year_only = ~numeric & ~low.rlike(MONTH_THEN_YEAR) & low.rlike(LAST_YEAR)
     number = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m[:3]), F.lit(i))])
     month_name = F.substring(F.regexp_extract(low, NAMED_PERIOD, 1), 1, 3)
 
@@ -120,7 +119,7 @@ def extract_periods(prompts: DataFrame, text: str = "prompt") -> DataFrame:
 
     return prompts.withColumns({
         "period_kind": F.when(year_only, F.lit("year")).when(numeric | named, F.lit("month")),
-        "period_year": F.when(year_only, F.regexp_extract(head, LAST_YEAR, 1).try_cast("int")).when(numeric, part(NUMERIC_PERIOD, 2))
+        "period_year": F.when(year_only, F.regexp_extract(low, LAST_YEAR, 1).try_cast("int")).when(numeric, part(NUMERIC_PERIOD, 2))
         .when(named, part(NAMED_PERIOD, 2)),
         "period_month": F.when(year_only, F.lit(None).cast("int")).when(numeric, part(NUMERIC_PERIOD, 1))
         .when(named, F.try_element_at(number, month_name)),

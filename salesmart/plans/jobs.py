@@ -27,7 +27,7 @@ from salesmart.sources.sinks import save_dataset, save_report
 def dataset_builders(headers: DataFrame, lines: DataFrame, companyfn: str | None = None,
                      date_from: str | None = None, date_to: str | None = None,
                      scope: str = "tenant", exact: bool = True) -> dict[str, Callable[[], DataFrame]]:
-    """The seven datasets of the full job by name, built when called."""
+    """The datasets of the full job by name, built when called."""
     window = {"companyfn": companyfn, "date_from": date_from, "date_to": date_to}
     options = {"scope": scope, "exact": exact}
     return {
@@ -40,6 +40,7 @@ def dataset_builders(headers: DataFrame, lines: DataFrame, companyfn: str | None
         "sales_trend": lambda: cleaning.trend_calendar(extraction.sales_trend(headers, **window)),
         "customer_retention": lambda: cleaning.retention_segments(
             extraction.customer_retention(headers, companyfn, scope=scope), **options),
+        "monthly_revenue": lambda: extraction.monthly_revenue(headers, **window),
         "revenue_report_by_date": lambda: cleaning.revenue_levels(
             extraction.monthly_revenue(headers, **window), **options),
     }
@@ -54,15 +55,24 @@ PARTITIONS = {
     "product_analysis": ["companyfn", "year", "month"],
     "sales_trend": ["companyfn", "year", "month"],
     "customer_retention": ["companyfn"],
+    "monthly_revenue": ["companyfn", "year", "month"],
     "revenue_report_by_date": ["companyfn", "year", "month"],
 }
 
 
 def extract_all(headers: DataFrame, lines: DataFrame, out: str, fmt: str = "parquet", **options) -> list[str]:
-    """Build and save all seven datasets; returns their names."""
+    """Build and save all datasets; returns their names.
+
+    The labelled revenue report is made from the saved monthly revenue, as a
+    refresh does it, so the two never differ.
+    """
     builders = dataset_builders(headers, lines, **options)
     for name, build in builders.items():
-        save_dataset(build(), f"{out}/{name}.{fmt}", fmt, PARTITIONS[name], whole=True)
+        df = build()
+        if name == "revenue_report_by_date":
+            months = load_dataset(headers.sparkSession, f"{out}/monthly_revenue.{fmt}")
+            df = cleaning.revenue_levels(months, **{k: v for k, v in options.items() if k in ("scope", "exact")})
+        save_dataset(df, f"{out}/{name}.{fmt}", fmt, PARTITIONS[name], whole=True)
     return list(builders)
 
 
@@ -91,7 +101,7 @@ def train_models(retention: DataFrame, trend: DataFrame, out: str, model: str =
     if model in ("forecast", "all"):
         data = cut(forecast.prepare_forecast(forecast.daily_revenue(trend)))
         if data.count() > minimum.get("forecast", 0):
-            trained["forecast"] = forecast.train_forecast(data, **options)
+            trained["forecast"] = forecast.train_forecast(data, categorical=["companyfn"], **options)
     for name, fitted in trained.items():
         models.save_model(fitted.model, f"{out}/{name}")
         save_report(fitted.metrics, f"{out}/{name}_metrics")

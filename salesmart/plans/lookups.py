@@ -1,4 +1,4 @@
-"""Joining a fact with a small table of per-key figures."""
+"""Joining a fact with a table of per-key figures."""
 
 from __future__ import annotations
 
@@ -7,32 +7,16 @@ from pyspark.sql import functions as F
 
 from salesmart.session import cut
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
-
-def _estimated_bytes(df: DataFrame, rows: int) -> int:
-    """Row count times a generous fixed width per column."""
-    return rows * 64 * len(df.columns)
-
-
-def attach(fact: DataFrame, figures: DataFrame, keys: list[str], how: str = "left",
-           max_bytes: int = MAX_BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+def attach(fact: DataFrame, figures: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``figures`` (one row per key) to every row of ``fact``.
 
-    ``figures`` is written once to the checkpoint folder and its size is
-    looked at.  Small enough, it is broadcast and the fact does not move.
-    Beyond the bound both sides are shuffled on the key plus a salt, so a key
-    that owns a third of the fact is spread over ``salts`` tasks.
+    ``figures`` is written once to the shared folder, when this is called.
+    Spark then knows its true size and chooses the join by it; where both sides
+    are shuffled, adaptive execution splits a key that owns much of the fact.
 
     Without keys ``figures`` is a single row.
     """
     if not keys:
         return fact.crossJoin(F.broadcast(figures))  # an ungrouped aggregate: one row
-    figures = cut(figures)
-    if _estimated_bytes(figures, figures.count()) <= max_bytes:
-        return fact.join(F.broadcast(figures), keys, how)
-    salted = figures.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # any deterministic spread of the fact's rows will do
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
-    return fact.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return fact.join(cut(figures), keys, how)

@@ -113,21 +113,13 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, fractions: list[flo
 
 def over_rows(df: DataFrame, keys: list[str], order: list[Column], lookback: int,
               columns: Callable[[WindowSpec], dict[str, Column]],
-              max_group_rows: int = 1_000_000, block_rows: int = 100_000) -> DataFrame:
+              block_rows: int = 100_000) -> DataFrame:
     """Columns over a window of at most ``lookback`` preceding rows of the group.
 
-    While the largest group has at most ``max_group_rows`` rows this is an
-    ordinary partitioned window.  Beyond that every group is cut into blocks of
-    consecutive rows; a block also receives the last ``lookback`` rows of the
-    block before it, and those guests are dropped afterwards.
+    Every group is cut into blocks of ``block_rows`` consecutive rows, so no
+    task holds a large group; a block also receives the last ``lookback`` rows
+    of the block before it, and those guests are dropped afterwards.
     """
-    if keys:
-        largest = df.groupBy(*keys).count().agg(F.max("count").alias("n"))
-    else:
-        largest = df.agg(F.count(F.lit(1)).alias("n"))
-    if (largest.first()["n"] or 0) <= max_group_rows:
-        return df.withColumns(columns(W.partitionBy(*keys).orderBy(*order)))
-
     size = max(block_rows, lookback, 1)
     placed = with_position(df, keys, order)
     home = F.floor(F.col(INDEX) / F.lit(size))

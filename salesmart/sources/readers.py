@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 Filters = Mapping[str, Any]
 
@@ -82,11 +84,31 @@ def describe_table(df: DataFrame) -> DataFrame:
     return columns.crossJoin(F.broadcast(rows))
 
 
+SCHEMA_FILE = "_salesmart_schema.json"  # Spark does not read files with this first letter
+
+
+def saved_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema that a dataset was saved with, if it was saved by this library."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SCHEMA_FILE}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return StructType.fromJson(json.loads(text))
+
+
 def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=None) -> DataFrame:
-    """Read a saved dataset; the format defaults to the path's suffix."""
+    """Read a saved dataset; the format defaults to the path's suffix.
+
+    Types are those the dataset was saved with, so codes such as ``001`` stay
+    text.  For other folders they are inferred, but a tenant is always text.
+    """
     fmt = fmt or path.rsplit(".", 1)[-1]
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
+    schema = saved_schema(spark, path) if schema is None else schema
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -94,4 +116,9 @@ def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=
         reader = reader.option("header", True)
         if schema is None:
             reader = reader.option("inferSchema", True)
-    return reader.format(fmt).load(path)
+    df = reader.format(fmt).load(path)
+    if schema is None and "companyfn" in df.columns and df.schema["companyfn"].dataType != StringType():
+        as_text = StructType([StructField("companyfn", StringType()) if f.name == "companyfn" else f
+                              for f in df.schema.fields])
+        df = reader.schema(as_text).format(fmt).load(path)
+    return df

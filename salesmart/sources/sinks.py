@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from salesmart.sources.readers import FORMATS
+from salesmart.sources.readers import FORMATS, SCHEMA_FILE
 
 
 def save_dataset(df: DataFrame, path: str, fmt: str = "parquet",
@@ -14,7 +14,8 @@ def save_dataset(df: DataFrame, path: str, fmt: str = "parquet",
     """Write a dataset as a folder of ``fmt`` files, partitioned by tenant.
 
     Only the partitions present in ``df`` are replaced; with ``whole`` the
-    folder afterwards holds ``df`` and nothing else.  Rows are brought together
+    folder afterwards holds ``df`` and nothing else.  The schema is
+    saved beside the files, so that loading restores it.  Rows are brought together
     by partition first, so that not every task writes a file into every folder;
     adaptive execution splits a partition that is too large for one task.
     """
@@ -30,6 +31,11 @@ def save_dataset(df: DataFrame, path: str, fmt: str = "parquet",
     if keys:
         writer = writer.partitionBy(*keys)
     writer.save(path)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SCHEMA_FILE}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(df.schema.json().encode())
+    out.close()
 
 
 def save_report(df: DataFrame, path: str) -> None:

@@ -13,14 +13,13 @@ from salesmart.session import cut
 from salesmart.sources.readers import load_dataset
 from salesmart.sources.sinks import save_dataset
 
-# fixed values: rows needed to retrain
-RETRAIN_ABOVE = {"main": 100, "churn": 50, "forecast": 30}
 MONTH = ["companyfn", "_year", "_month"]
+ESCAPED = "\"#%'*/:=?\\\x7f{[]^"   # fixed values: written as %XX in folder names
 
 
 def touched_months(changed: DataFrame) -> DataFrame:
-    """Tenants and months in which the changed documents lie."""
-    return changed.select(
+    """Tenants and months in which the changed documents lie; those without a tenant or date lie in none."""
+    return changed.where("companyfn IS NOT NULL AND date_trans IS NOT NULL").select(
         "companyfn", F.year("date_trans").alias("_year"), F.month("date_trans").alias("_month")).distinct()
 
 
@@ -40,15 +39,29 @@ def rows_of_months(df: DataFrame, months: DataFrame) -> DataFrame:
 
 
 def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, out: str,
-            changed_lines: DataFrame | None = None) -> None:
+            changed_lines: DataFrame | None = None, previous_headers: DataFrame | None = None,
+            create: bool = False) -> None:
     """Replace the touched months of the dated datasets.
 
+    ``previous_headers`` are the changed documents as they were; a document
+    whose date has moved then leaves its old month as well.  Without the
+    datasets of a full job there is nothing to refresh: that is an error, or
+    with ``create`` every month of ``headers`` is built.
+
     A month is recomputed whole from all its documents, then its partition is
     replaced, so earlier months and the rest of the report stay.  Running it
     again for the same changes gives the same files.  Month labels of the
     revenue report depend on all months and are renewed from the report itself.
     """
-    months = cut(touched_months(changed_headers))
+    spark = headers.sparkSession
+    if not _exists(spark, f"{out}/monthly_revenue.parquet"):
+        if not create:
+            raise FileNotFoundError(f"no monthly_revenue in {out}: run the full job first")
+        changed_headers, changed_lines = headers, lines
+    touched = touched_months(changed_headers)
+    if previous_headers is not None:
+        touched = touched.unionByName(touched_months(previous_headers)).distinct()
+    months = cut(touched)
     some = rows_of_months(headers, months)
     line_months = months if changed_lines is None else cut(months.unionByName(touched_months(changed_lines)).distinct())
     dated = {
@@ -65,21 +78,49 @@ def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, ou
 
 def _replace(df: DataFrame, path: str, due: DataFrame) -> None:
     """Overwrite the partitions of ``df`` and drop due months that have no rows left."""
+    df = cut(df)
     save_dataset(df, path, "parquet", ["companyfn", "year", "month"])
     kept = load_dataset(df.sparkSession, path).select(
         "companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct()
-    fresh = cut(df.select("companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct())
+    fresh = df.select("companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct()
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
     # one folder name per emptied month, usually none
-    for row in due.join(kept, MONTH, "left_semi").join(fresh, MONTH, "left_anti").toLocalIterator():
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/companyfn={row[0]}/year={row[1]}/month={row[2]}")
+    for row in _missing(_missing(due, kept, "left_semi"), fresh, "left_anti").toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path("/".join(
+            [path, *(f"{name}={_folder_value(v)}" for name, v in zip(("companyfn", "year", "month"), row))]))
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def _missing(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on the month, nulls being equal."""
+    right = right.withColumnsRenamed({c: f"{c}_r" for c in MONTH})
+    on = F.lit(True)
+    for c in MONTH:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    return left.join(right, on, how)
+
+
+def _folder_value(value) -> str:
+    """A partition value as it stands in a folder's name."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in ESCAPED else c for c in str(value))
+
+
+def _exists(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def daily(headers: DataFrame, lines: DataFrame, as_of: str, out: str, model_dir: str, days: int = 30,
-          **options) -> dict:
-    """Refresh what the last ``days`` days touch and retrain when there is enough data."""
+          previous_headers: DataFrame | None = None, retrain_above: dict[str, int] | None = None, **options) -> dict:
+    """Refresh what the last ``days`` days touch and retrain.
+
+    ``retrain_above`` names the rows needed to retrain (``main``: changed
+    documents, ``churn``, ``forecast``); by default there is no such gate.  The
+    result holds what was trained; what was not is absent.
+    """
     start = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz")
     end = F.lit(as_of).cast("timestamp_ntz")
 
@@ -90,11 +131,12 @@ def daily(headers: DataFrame, lines: DataFrame, as_of: str, out: str, model_dir:
     save_dataset(cleaning.clean_main(extraction.sales_main(changed)), f"{out}/sales_main_latest.parquet", whole=True)
     save_dataset(cleaning.clean_lines(extraction.sales_lines(latest_lines)), f"{out}/sales_data_latest.parquet",
                  whole=True)
-    refresh(headers, lines, changed, out, latest_lines)
-    if changed.count() <= RETRAIN_ABOVE["main"]:
+    refresh(headers, lines, changed, out, latest_lines, previous_headers)
+    gates = retrain_above or {}
+    if "main" in gates and changed.count() <= gates["main"]:
         return {}
     retention = extraction.customer_retention(headers)
-    return jobs.train_models(retention, extraction.sales_trend(changed), model_dir, minimum=RETRAIN_ABOVE, **options)
+    return jobs.train_models(retention, extraction.sales_trend(changed), model_dir, minimum=gates, **options)
 
 
 def refresh_stream(arriving: DataFrame, headers_path: str, lines: DataFrame, out: str,
@@ -110,7 +152,7 @@ def refresh_stream(arriving: DataFrame, headers_path: str, lines: DataFrame, out
         new = cut(batch)
         new.write.mode("overwrite").parquet(f"{headers_path}/batch={batch_id}")
         everything = spark.read.schema(arriving.schema).parquet(headers_path)
-        refresh(everything, lines, new, out)
+        refresh(everything, lines, new, out, create=True)
 
     return (arriving.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

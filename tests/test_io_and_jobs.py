@@ -92,7 +92,9 @@ def report(spark, path):
 def test_refresh_touches_only_its_months(spark, half_year, tmp_path):
     h, l = half_year
     out = str(tmp_path)
-    refresh.refresh(h, l, h, out)
+    with pytest.raises(FileNotFoundError):
+        refresh.refresh(h, l, h, out)
+    jobs.extract_all(h, l, out)
     before = report(spark, out)
     due = h.where("companyfn = 'C1' AND date_trans >= '1999-03-01' AND date_trans < '1999-04-01'")
     assert due.count() > 0
@@ -107,7 +109,52 @@ def test_refresh_touches_only_its_months(spark, half_year, tmp_path):
         assert {k: v for k, v in before.items() if k != ("C1", 1999, 3)} == after
 
 
+def test_rebuild_and_refresh_in_turn_keep_the_history(spark, half_year, tmp_path):
+    h, l = half_year
+    out, day = str(tmp_path), "1999-05-01"
+    old, new = h.where(f"date_trans < '{day}'"), h.where(f"date_trans >= '{day}'")
+
+    def want(df):
+        return {(r["companyfn"], r["year"], r["month"]): (r["amt_local"], r["num_transactions"])
+                for r in extraction.monthly_revenue(df).collect()}
+    for _ in range(2):
+        jobs.extract_all(old, l, out)
+        assert report(spark, out) == want(old)
+        refresh.refresh(h, l, new, out)
+        assert report(spark, out) == want(h)
+
+
+def test_moved_document_leaves_its_old_month(spark, half_year, tmp_path):
+    h, l = half_year
+    h = h.withColumn("companyfn", F.concat(F.lit("a/b=%"), "companyfn"))
+    l = l.withColumn("companyfn", F.concat(F.lit("a/b=%"), "companyfn"))
+    out = str(tmp_path)
+    march = (F.col("companyfn") == "a/b=%C1") & (F.date_trunc("month", "date_trans")
+                                               == F.lit(dt.datetime(1999, 3, 1)).cast("timestamp_ntz"))
+    jobs.extract_all(h, l, out)
+    moved = h.withColumn("date_trans", F.when(march, F.lit(dt.datetime(1999, 4, 2)).cast("timestamp_ntz")).otherwise(
+        F.col("date_trans")))
+    refresh.refresh(moved, l, moved.where("companyfn = 'a/b=%C1' AND date_trans = timestamp_ntz'1999-04-02'"), out,
+                    previous_headers=h.where(march))
+    got = report(spark, out)
+    assert ("a/b=%C1", 1999, 3) not in got and ("a/b=%C1", 1999, 4) in got
+    assert got == {(r["companyfn"], r["year"], r["month"]): (r["amt_local"], r["num_transactions"])
+                   for r in extraction.monthly_revenue(moved).collect()}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_tenants_stay_apart(spark, tmp_path, fmt):
+    df = spark.createDataFrame([("001", "007", 1.5), ("1", "7", 2.5)], "companyfn string, code string, x double")
+    sinks.save_dataset(df, f"{tmp_path}/d.{fmt}", fmt)
+    assert sorted(tuple(r) for r in readers.load_dataset(spark, f"{tmp_path}/d.{fmt}").select(df.columns).collect()) == [
+        ("001", "007", 1.5), ("1", "7", 2.5)]
+    assert DatasetRegistry(spark, str(tmp_path), "001").load("d").count() == 1
+    df.write.partitionBy("companyfn").parquet(f"{tmp_path}/plain.parquet")
+    assert {r[0] for r in readers.load_dataset(spark, f"{tmp_path}/plain.parquet").select("companyfn").collect()} == {"001", "1"}
+
+
 def test_daily_job(spark, source, tmp_path):
+    jobs.extract_all(*source, f"{tmp_path}/out")
     result = refresh.daily(*source, AS_OF, f"{tmp_path}/out", f"{tmp_path}/models", days=60, folds=0, num_trees=3)
     latest = readers.load_dataset(spark, f"{tmp_path}/out/sales_main_latest.parquet")
     assert latest.agg(F.min("date_trans")).first()[0] >= dt.datetime(2001, 6, 2)

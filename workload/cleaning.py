@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from salesmart.operators import cleaning as cl
+from salesmart.plans import jobs
+from salesmart.session import shared_folder
+from salesmart.sources.readers import load_dataset
+from salesmart.sources.sinks import save_dataset
+from salesmart.streaming import refresh
 from workload.catalog import HDR, JOINED, LIN, plain, query, with_tables
 from workload.extraction import (
     FACTS_SQL, PRODUCT_SQL, RETENTION_SQL, REVENUE_SQL, TREND_SQL, facts, product_day, retention, revenue, trend,
 )
-from workload.tables import dirty_headers, dirty_lines
+from workload.tables import dirty_headers, dirty_lines, headers, lines
 
 CIRCLE = {"month_sin": 12, "month_cos": 12, "day_of_week_sin": 12, "day_of_week_cos": 12}
 CIRCLE_SQL = """ROUND(SIN(2 * PI() * month / 12), 12) AS month_sin,
@@ -114,6 +123,40 @@ def _(spark, sf_dir):
     return plain(cl.revenue_levels(revenue(spark, sf_dir)))
 
 
+@query("refreshed_revenue_report", with_tables(HDR, REVENUE_SQL, edges_sql("revenue", "amt_local", 3)) + f"""
+SELECT revenue.*, ['Low', 'Medium', 'High'][{bucket_sql('amt_local', 3)}] AS revenue_level
+FROM revenue JOIN edges USING (companyfn)""")
+def _(spark, sf_dir):
+    """A full build on the older documents, then a refresh with the rest."""
+    every = headers(spark, sf_dir)
+    some_lines = lines(spark, sf_dir)
+    out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for name in ("monthly_revenue", "sales_trend", "sales_data"):
+        build = jobs.dataset_builders(every.where("date_trans < '2001-01-01'"), some_lines)[name]
+        save_dataset(build(), f"{out}/{name}.parquet", "parquet", jobs.PARTITIONS[name], whole=True)
+    refresh.refresh(every, some_lines, every.where("date_trans >= '2001-01-01'"), out)
+    report = load_dataset(spark, f"{out}/revenue_report_by_date.parquet")
+    return plain(report.select(*cl.revenue_levels(revenue(spark, sf_dir)).columns))
+
+
+@query("saved_and_loaded", with_tables(HDR) + """
+SELECT fmt, companyfn, stored, COUNT(*) AS n, MIN(dnum_auto) AS first_code
+FROM (SELECT *, CASE WHEN okey % 2 = 0 THEN '001' ELSE '1' END AS stored FROM hdr)
+CROSS JOIN (SELECT unnest(['parquet', 'csv', 'json']) AS fmt) GROUP BY ALL""")
+def _(spark, sf_dir):
+    """Saved in each format by a tenant code that looks like a number, loaded again."""
+    every = headers(spark, sf_dir, ["idcode", "companyfn", "dnum_auto"])
+    coded = every.select(F.col("companyfn").alias("region"), "dnum_auto",
+                         F.when(F.col("idcode") % 2 == 0, "001").otherwise("1").alias("companyfn"))
+    out, result = f"{shared_folder(spark)}/{uuid.uuid4().hex}", None
+    for fmt in ("parquet", "csv", "json"):
+        save_dataset(coded, f"{out}/coded.{fmt}", fmt)
+        part = load_dataset(spark, f"{out}/coded.{fmt}").withColumn("fmt", F.lit(fmt))
+        result = part if result is None else result.unionByName(part)
+    return result.groupBy("fmt", F.col("region").alias("companyfn"), F.col("companyfn").alias("stored")).agg(
+        F.count("*").alias("n"), F.min("dnum_auto").alias("first_code"))
+
+
 @query("customer_value_segment", with_tables(HDR, LIN, JOINED, FACTS_SQL, edges_sql("facts", "ABS(line_amount)", 5)) + f"""
 SELECT facts.*, CASE WHEN day_of_week >= 5 THEN 1 ELSE 0 END AS is_weekend,
   ['Very Low', 'Low', 'Medium', 'High', 'Very High'][{bucket_sql('ABS(line_amount)', 5)}] AS transaction_value_segment

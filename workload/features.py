@@ -138,7 +138,7 @@ def _(spark, sf_dir):
     rows = headers(spark, sf_dir, ["uniquenum_pri", "date_trans", "amount_local"]).withColumnRenamed(
         "date_trans", "transaction_date")
     # the whole table is one group, so it goes through in blocks
-    return plain(ft.lag_features(rows, "amount_local", ties=["uniquenum_pri"], max_group_rows=0, block_rows=2000))
+    return plain(ft.lag_features(rows, "amount_local", ties=["uniquenum_pri"], block_rows=2000))
 
 
 @query("interaction_features", with_tables(HDR, LIN, JOINED, FACTS_SQL, CUSTOMER_FEATURES_SQL) + """

@@ -16,7 +16,8 @@ PROMPTS_SQL = """prompts AS (
       WHEN 3 THEN 'revenue ' || year(date_trans)
       WHEN 4 THEN 'top customers ' || month(date_trans) || '/' || year(date_trans)
       WHEN 5 THEN 'bestseller by category' WHEN 6 THEN 'monthly growth'
-      WHEN 7 THEN 'sales trend' ELSE 'hello there' END AS prompt
+      WHEN 7 THEN 'sales trend' WHEN 8 THEN 'hello there'
+        || CASE WHEN okey % 2 = 1 THEN chr(10) || 'revenue ' || year(date_trans) ELSE '' END END AS prompt
   FROM hdr)"""
 
 
@@ -24,6 +25,7 @@ def any_word(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
+# fixed values: how months and periods are written
 MONTH_RE = ("(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|"
             "sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
 DATED_RE = (r"(\d{1,2}/\d{4})|(\d{1,2}\.\d{4})|(\d{1,2}-\d{4})|" + MONTH_RE
@@ -64,12 +66,12 @@ def periods_sql(source: str) -> str:
   SELECT *, lower(prompt) AS low, regexp_matches(lower(prompt), '{numeric}') AS is_num,
     regexp_matches(lower(prompt), '{named}') AS is_name,
     NOT regexp_matches(lower(prompt), '{numeric}')
-      AND NOT regexp_matches(lower(prompt), '(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\\d{{4}}')
+      AND NOT regexp_matches(lower(prompt), '(?s)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\\d{{4}}')
       AND regexp_matches(lower(prompt), '\\b20\\d{{2}}\\b') AS is_year FROM {source}),
 periods AS (
   SELECT * EXCLUDE (low, is_num, is_name, is_year),
     CASE WHEN is_year THEN 'year' WHEN is_num OR is_name THEN 'month' END AS period_kind,
-    CAST(CASE WHEN is_year THEN regexp_extract(low, '.*\\b(20\\d{{2}})\\b', 1)
+    CAST(CASE WHEN is_year THEN regexp_extract(low, '(?s).*\\b(20\\d{{2}})\\b', 1)
       WHEN is_num THEN regexp_extract(low, '{numeric}', 2)
       WHEN is_name THEN regexp_extract(low, '{named}', 2) END AS INTEGER) AS period_year,
     CASE WHEN is_year THEN NULL WHEN is_num THEN CAST(regexp_extract(low, '{numeric}', 1) AS INTEGER)

@@ -36,28 +36,10 @@ PART_COLUMNS = {"stkcode_desc", "brand_code", "brand_desc", "stkcate_code", "stk
 SUPPLIER_COLUMNS = {"stkvendor_desc"}
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fact_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table that carries the work of a query.
-
-    A file too small to be split would keep all but one core idle until the
-    first shuffle, so its rows are dealt out.  A table with a split for every
-    core is read as it is.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    df = spark.read.parquet(path)
-    return df if size >= cores * SPLIT_BYTES else df.repartition(cores)
-
-
 def _money(column: str | Column) -> Column:
     return F.col(column).cast("decimal(18,2)") if isinstance(column, str) else column.cast("decimal(18,2)")
 
@@ -76,7 +58,7 @@ def _project(df: DataFrame, exprs: dict[str, Column], schema, names: set[str]) -
 
 def headers(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     need = set(columns) if columns is not None else set(HEADERS.fieldNames())
-    df = fact_table(spark, sf_dir, "orders")
+    df = table(spark, sf_dir, "orders")
     if need & (CUSTOMER_COLUMNS | NATION_COLUMNS | REGION_COLUMNS):
         df = df.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     if need & (NATION_COLUMNS | REGION_COLUMNS):
@@ -114,7 +96,7 @@ def headers(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = No
 
 def lines(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     need = set(columns) if columns is not None else set(LINES.fieldNames())
-    df = fact_table(spark, sf_dir, "lineitem").withColumn("uniquenum_pri", F.col("l_orderkey").cast("string"))
+    df = table(spark, sf_dir, "lineitem").withColumn("uniquenum_pri", F.col("l_orderkey").cast("string"))
     inherited = sorted(need & FROM_HEADER)
     if inherited:
         df = df.join(headers(spark, sf_dir, ["uniquenum_pri", *inherited]), "uniquenum_pri")
@@ -194,7 +176,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bestseller by category"),
         F.lit("monthly growth"),
         F.lit("sales trend"),
-        F.lit("hello there"),
+        F.concat(F.lit("hello there"), F.when(F.col("idcode") % 2 == 1, F.concat(F.lit("\nrevenue "), year)).otherwise("")),
     ]
     text = F.element_at(F.array(*templates), (F.col("idcode") % len(templates) + 1).cast("int"))
     return df.select("companyfn", F.col("idcode").alias("prompt_id"), text.alias("prompt"), when.alias("asked_at"))
