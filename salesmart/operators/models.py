@@ -50,7 +50,7 @@ def feature_stages(features: Sequence[str], categorical: Sequence[str] = ()) ->
     if categorical:
         stages.append(StringIndexer(
             inputCols=list(categorical), outputCols=[f"_{c}" for c in categorical],
-            stringOrderType="alphabetAsc", handleInvalid="error"))
+            stringOrderType="alphabetAsc", handleInvalid="keep"))
     finite = ", ".join(
         f"CASE WHEN abs(CAST(`{c}` AS DOUBLE)) < double('infinity') THEN CAST(`{c}` AS DOUBLE) ELSE 0.0D END AS `_{c}`"
         for c in numeric)
