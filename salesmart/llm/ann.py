@@ -46,6 +46,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def axes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
     """(table, row, probe): the nearest signed axes, nearest first."""
     width = 1 << (x.shape[1] - 1).bit_length()
+    probes = min(probes, 2 * width)
     padded = np.zeros((len(x), width))
     padded[:, :x.shape[1]] = x
     rng = np.random.default_rng([seed, width])
@@ -58,7 +59,7 @@ def axes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
         if probes == 1:
             out[t, :, 0] = both.argmax(1)
         else:
-            best = np.argpartition(-both, min(probes, 2 * width) - 1, axis=1)[:, :probes]
+            best = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
             out[t] = best
     return out
 

@@ -24,7 +24,7 @@ from salesmart.llm.common import SPACE, arrow_text, flat, mix, ship, slices, spa
 DIMS = 1 << 20
 MAX_LABELLED = 16000   # bound of the training sample, taken by the order of a hash of the id
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.3, 1.0
 
 _byte = np.arange(256)
 #: a byte's kind: upper 1, lower 2, digit 3, non-ASCII 4, each other sign its own

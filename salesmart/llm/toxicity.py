@@ -89,7 +89,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 
     v, top = np.ones(len(used)), 1.0
     for _ in range(10):                                  # the largest curvature bounds the step
-        v = back(share * times(v))
+        v = back(share * times(v)).astype(np.float64)
         top = max(float(np.linalg.norm(v)), 1e-9)
         v /= top
     rate = 1 / (0.5 * top + 1)
