@@ -154,7 +154,7 @@ def test_tenants_stay_apart(spark, tmp_path, fmt):
 
 
 def test_daily_job(spark, source, tmp_path):
-    jobs.extract_all(*source, f"{tmp_path}/out")
+    jobs.extract_all(*source, f"{tmp_path}/out", date_from="2001-05-01")
     result = refresh.daily(*source, AS_OF, f"{tmp_path}/out", f"{tmp_path}/models", days=60, folds=0, num_trees=3)
     latest = readers.load_dataset(spark, f"{tmp_path}/out/sales_main_latest.parquet")
     assert latest.agg(F.min("date_trans")).first()[0] >= dt.datetime(2001, 6, 2)
