@@ -17,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 # credential words before a value, and the values' form
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
-                     r"""|private[_-]?key|client[_-]?secret|credentials?)["']?\x20*[:=]\x20*["']?([!-~]{8,128})""",
+                     r"""|private[_-]?key|client[_-]?secret|credentials?)["']?\x20*[:=]\x20*["']?([!-~]{8,})""",
                      re.IGNORECASE | re.ASCII)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
 LEAST_COST = 10.0     # log10 of guesses
+LONGEST_PART = 64     # keys in one walk, or characters in a block said again; longer ones are several parts
 
 # words tried first by guessers, in order of rank
 WORDS = ("password", "admin", "welcome", "letmein", "login", "master", "dragon", "monkey", "shadow", "sunshine",
@@ -65,6 +68,17 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+def _said_again(value: str) -> np.ndarray:
+    """(size, end): whether the block of that size before the end says the one before it again."""
+    codes = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    n = len(codes)
+    out = np.zeros((min(n // 2, LONGEST_PART) + 1, n + 1), bool)
+    for size in range(2, len(out)):
+        same = np.concatenate([[0], np.cumsum(codes[size:] == codes[:-size])])
+        out[size, 2 * size:] = same[size:] - same[:-size] == size
+    return out
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for the cheapest segmentation, and that segmentation.
 
@@ -74,37 +88,36 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     n = len(value)
     low = value.lower()
     plain = low.translate(_plain)
-    ends: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]   # by end: (start, kind, cost)
+    run = [0] * n          # by character, where its run of equal characters starts,
+    walk = [0] * n         # and its run of neighbouring keys
+    for i in range(1, n):
+        run[i] = run[i - 1] if value[i] == value[i - 1] else i
+        walk[i] = walk[i - 1] if low[i - 1:i + 1] in _steps else i
+    dates: dict[int, list[int]] = {}
     for i in range(n):
-        ends[i + 1].append((i, "brute", _brute(value[i])))
-        for j in range(i + 2, min(n, i + _longest) + 1):
-            for text, extra in ((low, 0.0), (plain, 0.5)):
-                rank = _rank.get(text[i:j])
-                if rank:
-                    case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() else 0.8
-                    ends[j].append((i, "word", math.log10(rank + 1) + case + extra))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            ends[j].append((i, "repeat", _brute(value[i]) + math.log10(j - i)))
-        j = i + 1
-        while j < n and low[j - 1:j + 1] in _steps:
-            j += 1
-        for k in range(i + 3, j + 1):
-            ends[k].append((i, "walk", math.log10(47) + (k - i - 1) * math.log10(1.7)))
         m = _date.match(value, i)
         if m:
-            ends[m.end()].append((i, "date", math.log10(365 * 120 if m.end() - i > 4 else 120)))
-    for size in range(2, n // 2 + 1):       # a block of several characters said again
-        for i in range(n - 2 * size + 1):
-            if value[i:i + size] == value[i + size:i + 2 * size]:
-                ends[i + 2 * size].append((i + size, "repeat", math.log10(n)))
+            dates.setdefault(m.end(), []).append(i)
+    again = _said_again(value)
     best: list[tuple[float, int, str, int]] = [(0.0, 0, "", 0)]
     for j in range(1, n + 1):
+        parts: list[tuple[int, str, float]] = [(j - 1, "brute", _brute(value[j - 1]))]
+        for i in range(max(0, j - _longest), j - 1):
+            for text, extra in ((low, 0.0), (plain, 0.5)):
+                rank = _rank.get(text[i:j])
+                if rank:
+                    case = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() else 0.8
+                    parts.append((i, "word", math.log10(rank + 1) + case + extra))
+        if j == n or value[j] != value[j - 1]:
+            parts += [(i, "repeat", _brute(value[i]) + math.log10(j - i)) for i in range(run[j - 1], j - 2)]
+        for i in range(max(walk[j - 1], j - LONGEST_PART), j - 2):
+            parts.append((i, "walk", math.log10(47) + (j - i - 1) * math.log10(1.7)))
+        for i in dates.get(j, ()):
+            parts.append((i, "date", math.log10(365 * 120 if j - i > 4 else 120)))
+        parts += [(j - int(size), "repeat", math.log10(n)) for size in np.flatnonzero(again[:, j])]
         # a run of brute characters is one segment, so only a change of kind adds an ordering cost
         best.append(min((best[i][0] + cost + (0.0 if kind == "brute" and best[i][2] == "brute" else 0.3), i, kind,
-                         best[i][3] + 1) for i, kind, cost in ends[j]))
+                         best[i][3] + 1) for i, kind, cost in parts))
     chain, j = [], n
     while j:
         cost, i, kind, _ = best[j]
@@ -133,12 +146,14 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], least_cost: float
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
+    taken = [(s, e) for s, kind, e in base if kind == 0]      # in order, none overlapping
     out = []
     for m in CONTEXT.finditer(text):
         value = m.group(2).rstrip("\"',;.)")
         start, end = m.start(2), m.start(2) + len(value)
-        if len(value) >= 8 and not any(s < end and start < e for s, kind, e in base if kind == 0) \
-                and guess_cost(value)[0] >= least_cost:
+        before = bisect_left(taken, (end,))
+        free = before == 0 or taken[before - 1][1] <= start
+        if len(value) >= 8 and free and guess_cost(value)[0] >= least_cost:
             out.append((start, 3, end))
     return out
 

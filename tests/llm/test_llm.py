@@ -216,6 +216,10 @@ def test_secret_spans():
     costs = [secret_scan.guess_cost(v)[0] for v in ("password", "qwertyuiop", "aaaaaaaaaa", "19870412", "kX9#vT2!qLm8z")]
     assert max(costs[:4]) < 6 < costs[4]
     assert secret_scan.guess_cost("dragon1987")[1] == [("word", 0, 6), ("date", 6, 10)]
+    assert secret_scan.guess_cost("x7#x7#x7#")[1][-1] == ("repeat", 6, 9)
+    long = "".join(chr(33 + i * i * 7919 % 89) + "z9"[i % 2] for i in range(20_000)) + "k"
+    assert secret_scan.guessed_spans(f"pwd: {long} end", [], secret_scan.LEAST_COST) == [(5, 3, 5 + len(long))]
+    assert secret_scan.guess_cost("a" * 50_000)[0] < secret_scan.LEAST_COST
 
 
 def test_redaction(spark):
