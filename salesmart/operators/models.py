@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
@@ -12,8 +14,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.plans.ranking import INDEX, SIZE, with_position
@@ -69,6 +71,16 @@ def prepare_features(df: DataFrame, features: Sequence[str],
     return model, model.transform(df)
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], stratify: str | None, seed: int) -> DataFrame:
+    """Rows with their place in the order of a hash of their key, per class if asked; written once."""
+    ticket = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
+    return cut(with_position(df, [stratify] if stratify else [], [ticket, *[F.col(k) for k in keys]]))
+
+
+def _in_test(share: float) -> Column:
+    return F.col(INDEX) < F.ceil(F.col(SIZE) * F.lit(share))
+
+
 def split(df: DataFrame, keys: Sequence[str], stratify: str | None = None,
           test_share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """A repeatable train/test split with an exact share, per class if asked.
@@ -76,10 +88,25 @@ def split(df: DataFrame, keys: Sequence[str], stratify: str | None = None,
     Rows are put in the order of a hash of their key; the first share of each
     class becomes the test set.
     """
-    lottery = [F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *[F.col(k) for k in keys]]
-    placed = cut(with_position(df, [stratify] if stratify else [], lottery))
-    is_test = F.col(INDEX) < F.ceil(F.col(SIZE) * F.lit(test_share))
-    return placed.where(~is_test).drop(INDEX, SIZE), placed.where(is_test).drop(INDEX, SIZE)
+    placed = _dealt(df, keys, stratify, seed)
+    in_test = _in_test(test_share)
+    return placed.where(~in_test).drop(INDEX, SIZE), placed.where(in_test).drop(INDEX, SIZE)
+
+
+def _scores(predicted: DataFrame, evaluator: Evaluator, names: dict[str, str]) -> dict[str, float]:
+    return {name: evaluator.copy({evaluator.metricName: metric}).evaluate(predicted) for name, metric in names.items()}
+
+
+def class_metrics(predicted: DataFrame) -> DataFrame:
+    """Accuracy and weighted precision, recall and F1 of (label, prediction) rows."""
+    rows = predicted.select(F.col(LABEL).cast("double"), F.col("prediction").cast("double"))
+    return _metric_rows(rows.sparkSession, _scores(rows, MulticlassClassificationEvaluator(labelCol=LABEL), CLASS_METRICS))
+
+
+def number_metrics(predicted: DataFrame) -> DataFrame:
+    """Squared, absolute and R2 figures of (label, prediction) rows."""
+    rows = predicted.select(F.col(LABEL).cast("double"), F.col("prediction").cast("double"))
+    return _metric_rows(rows.sparkSession, _scores(rows, RegressionEvaluator(labelCol=LABEL), NUMBER_METRICS))
 
 
 def _metric_rows(spark: SparkSession, rows: dict[str, float]) -> DataFrame:
@@ -94,36 +121,59 @@ def _importances(spark: SparkSession, model, features: Sequence[str]) -> DataFra
         [(name, float(w)) for name, w in zip(features, weights)], "feature string, importance double")
 
 
+def _fold_scores(df: DataFrame, fold: Column, fit: Callable[[DataFrame], PipelineModel], scorer: Evaluator,
+                 parallelism: int) -> list[float]:
+    """The score on every fold of a model fitted on the others; none when all rows are in one fold."""
+    present = sorted(r[0] for r in df.select(fold.alias("fold")).distinct().collect())  # as many as folds
+    if len(present) < 2:
+        return []
+
+    def score(f: int) -> float:
+        return scorer.evaluate(fit(df.where(fold != f)).transform(df.where(fold == f)))
+    with ThreadPool(min(parallelism, len(present))) as pool:
+        return pool.map(score, present)
+
+
 def _fit_and_score(df: DataFrame, estimator: Estimator, features: list[str], categorical: Sequence[str],
                    keys: Sequence[str], stratify: str | None, evaluator: Evaluator, score: str,
                    names: dict[str, str], folds: int, grid: dict[str, list] | None,
                    parallelism: int) -> Trained:
-    spark = df.sparkSession
-    stages = feature_stages(features, categorical)
-    train, test = split(df, keys, stratify)
-    if grid:
-        builder = ParamGridBuilder()
-        for name, values in grid.items():
-            builder = builder.addGrid(getattr(estimator, name), values)
-        search = CrossValidator(
-            estimator=Pipeline(stages=[*stages, estimator]), estimatorParamMaps=builder.build(),
-            evaluator=evaluator.copy({evaluator.metricName: score}), numFolds=max(folds, 2), seed=SEED,
-            parallelism=parallelism)
-        model = search.fit(train).bestModel
-        chosen = {p.name: v for p, v in model.stages[-1].extractParamMap().items() if p.name in grid}
-        estimator = estimator.copy({getattr(estimator, name): v for name, v in chosen.items()})
-    else:
-        model = Pipeline(stages=[*stages, estimator]).fit(train)
+    """Fit on the training share, measure on the rest and across folds of all rows.
 
+    Folds are dealt in turn in the order of the split, so they hold each class
+    alike.  With a grid, the search is repeated on the training rows of every
+    fold, so no score is taken on rows that chose the parameters.
+    """
+    placed = _dealt(df, keys, stratify, SEED)
+    train, test = placed.where(~_in_test(0.2)), placed.where(_in_test(0.2))
+    pipeline = Pipeline(stages=[*feature_stages(features, categorical), estimator])
+    scorer = evaluator.copy({evaluator.metricName: score})      # the larger the better
+    builder = ParamGridBuilder()
+    for name, values in (grid or {}).items():
+        builder = builder.addGrid(getattr(estimator, name), values)
+    choices = builder.build()
+    inner = max(folds, 2)
+
+    def fit(rows: DataFrame, turn: Column) -> PipelineModel:
+        best = choices[0]
+        if len(choices) > 1:
+            found = [_fold_scores(rows, turn % inner, lambda part, c=choice: pipeline.fit(part, c), scorer, parallelism)
+                     for choice in choices]
+            if found[0]:
+                best = max(zip(map(fmean, found), range(len(choices))), key=lambda f: (f[0], -f[1]))
+                best = choices[best[1]]
+        return pipeline.fit(rows, best)
+
+    model = fit(train, F.col(INDEX))
     predicted = cut(model.transform(test).select(LABEL, "prediction"))
-    figures = {
-        name: evaluator.copy({evaluator.metricName: metric}).evaluate(predicted) for name, metric in names.items()}
+    figures = _scores(predicted, evaluator, names)
     if folds > 1:
-        whole = CrossValidator(
-            estimator=Pipeline(stages=[*stages, estimator]), estimatorParamMaps=[{}],
-            evaluator=evaluator.copy({evaluator.metricName: score}), numFolds=folds, seed=SEED,
-            parallelism=parallelism).fit(train.unionByName(test))
-        figures |= {"cv_mean": whole.avgMetrics[0], "cv_std": whole.stdMetrics[0]}
+        turn = F.floor(F.col(INDEX) / folds)
+        scores = _fold_scores(placed, F.col(INDEX) % folds, lambda part: fit(part, turn), scorer,
+                              1 if len(choices) > 1 else parallelism)
+        if scores:
+            figures |= {"cv_mean": fmean(scores), "cv_std": pstdev(scores)}
+    spark = df.sparkSession
     return Trained(model, features, _metric_rows(spark, figures), _importances(spark, model.stages[-1], features))
 
 

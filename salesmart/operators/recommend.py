@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from salesmart.operators import models
+from salesmart.operators import features, models
 from salesmart.operators.models import Trained
 from salesmart.plans.ranking import INDEX, SIZE, with_position
 from salesmart.session import cut
@@ -46,6 +46,26 @@ def train_recommender(facts: DataFrame, rank: int = 10, iterations: int = 10) ->
     return als.fit(cut(rated)), customers, products
 
 
+def candidates(facts: DataFrame, per_category: int = 20) -> DataFrame:
+    """Products a customer may want: the most bought of the favourite category, without those bought already.
+
+    ``popularity`` ranks a category's products by their number of buyers, ties
+    by code.  A customer gets at most ``per_category`` rows, so the table grows
+    with the customers and not with customers times products.
+    """
+    known = facts.where(F.col("customer_id").isNotNull() & F.col("product_code").isNotNull())
+    liked = features.favorites(known).where(F.col("favorite_category").isNotNull()).select(
+        "companyfn", "customer_id", F.col("favorite_category").alias("category_name"))
+    buyers = known.groupBy("companyfn", "category_name", "product_code").agg(
+        F.countDistinct("customer_id").alias("buyers"))
+    place = F.row_number().over(
+        W.partitionBy("companyfn", "category_name").orderBy(F.desc("buyers"), F.col("product_code")))
+    popular = buyers.withColumn("popularity", place).where(F.col("popularity") <= per_category)
+    bought = known.select("companyfn", "customer_id", "product_code").distinct()
+    return liked.join(popular, ["companyfn", "category_name"]).join(
+        bought, ["companyfn", "customer_id", "product_code"], "left_anti")
+
+
 def purchase_scores(fitted: tuple, pairs: DataFrame) -> DataFrame:
     """Score of each given (tenant, customer, product) pair.
 

@@ -46,12 +46,21 @@ def test_churn_model(spark, customers, tmp_path):
 
 def test_churn_search_and_logistic(customers):
     grid = {"numTrees": [3, 5], "maxDepth": [3]}
-    assert figures(churn.train_churn(customers, tune=True, grid=grid, folds=2))["accuracy"] > 0.9
+    searched = figures(churn.train_churn(customers, tune=True, grid=grid, folds=2))
+    assert searched["accuracy"] > 0.9 and searched["cv_mean"] > 0.9 and searched["cv_std"] >= 0
     assert figures(churn.train_churn(customers, "logistic_regression", folds=0))["accuracy"] > 0.9
     with pytest.raises(ValueError):
         churn.train_churn(customers, "perceptron")
 
 
+def test_folds_hold_each_class(spark):
+    df = spark.range(40).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    placed = models._dealt(df, ["id"], "y", models.SEED)
+    folds = placed.groupBy(F.col(models.INDEX) % 5).agg(F.count("*"), F.sum("y")).collect()
+    assert [(r[1], r[2]) for r in folds] == [(8, 2)] * 5
+    assert models._fold_scores(df, F.lit(0), None, None, 2) == []
+
+
 def test_features_are_finite(spark):
     df = spark.createDataFrame([(1.0, "b"), (float("nan"), "a"), (float("inf"), "b"), (None, "a")], "x double, k string")
     _, vectors = models.prepare_features(df, ["x", "k", "absent"], ["k"])
@@ -94,3 +103,12 @@ def test_recommendations(spark):
     score = {(r["customer_id"], r["product_code"]): r["purchase_score"] for r in recommend.purchase_scores(fitted, pairs).collect()}
     assert score["c0", "p0"] > score["c0", "p9"]
     assert recommend.recommendations(recommend.purchase_scores(fitted, pairs), 1).count() == 2
+
+
+def test_only_new_products_are_recommended(spark):
+    rows = [("A", "c1", "p1", "x"), ("A", "c1", "p1", "x"), ("A", "c1", "q1", "y"), ("A", "c2", "p2", "x"),
+            ("A", "c3", "p2", "x"), ("A", "c3", "p3", "x"), ("A", None, "p9", "x"), ("B", "c1", "p7", "x")]
+    facts = spark.createDataFrame(rows, "companyfn string, customer_id string, product_code string, category_name string") \
+        .withColumn("brand_desc", F.lit("b"))
+    got = sorted((r.companyfn, r.customer_id, r.product_code, r.popularity) for r in recommend.candidates(facts, 2).collect())
+    assert got == [("A", "c1", "p2", 1), ("A", "c2", "p1", 2), ("A", "c3", "p1", 2)]

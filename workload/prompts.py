@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from salesmart.operators import prompts as pr
+from salesmart.session import shared_folder
 from workload.catalog import HDR, plain, query, with_tables
 from workload.extraction import REVENUE_SQL, revenue
 from workload.tables import prompts, table
@@ -118,8 +121,20 @@ def _(spark, sf_dir):
     return plain(pr.answer_revenue(prompts(spark, sf_dir), revenue(spark, sf_dir)))
 
 
-@query("prompt_statistics", with_tables(HDR, PROMPTS_SQL, tags_sql("prompts")) + """
+STATISTICS_SQL = with_tables(HDR, PROMPTS_SQL, tags_sql("prompts")) + """
 SELECT companyfn, target, COUNT(*) AS prompts, MAX(asked_at) AS last_asked
-FROM (SELECT companyfn, asked_at, unnest(string_split(targets, ',')) AS target FROM tagged) GROUP BY ALL""")
+FROM (SELECT companyfn, asked_at, unnest(string_split(targets, ',')) AS target FROM tagged) GROUP BY ALL"""
+
+
+@query("prompt_statistics", STATISTICS_SQL)
 def _(spark, sf_dir):
     return plain(pr.prompt_statistics(pr.tag_prompts(prompts(spark, sf_dir))))
+
+
+@query("logged_prompts", STATISTICS_SQL)
+def _(spark, sf_dir):
+    """The same statistics from the prompt log."""
+    log = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    tagged = pr.tag_prompts(prompts(spark, sf_dir))
+    pr.log_prompts(tagged, log)
+    return plain(pr.prompt_statistics(spark.read.schema(tagged.schema).parquet(log)))
