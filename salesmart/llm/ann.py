@@ -8,8 +8,9 @@ looks into its ``probes`` nearest buckets of each table; what it meets there is
 scored exactly, in double precision.
 
 Equal vectors are searched once: of a group only the ``k + 1`` smallest ids can
-be among anyone's ``k`` nearest (ties go to smaller ids).  Buckets of many
-vectors are cut into blocks, each visited by the bucket's queries.
+be among anyone's ``k`` nearest (ties go to smaller ids).  A bucket's vectors
+and its queries are both cut into blocks, and every pair of blocks is a group of
+its own, so that a bucket that holds a third of all rows is no single task's.
 
 Vectors that are null, zero, or hold a null, NaN or infinite component take no
 part, nor do rows with a null id; vectors of unlike lengths never meet.  Rows
@@ -27,8 +28,9 @@ from pyspark.sql.window import Window
 from salesmart.llm.common import grouped, ship
 
 TABLES, PROBES, SEED = 28, 8, 7
-BUCKET_BLOCK = 2048
+BUCKET_BLOCK, QUERY_BLOCK = 2048, 4096
 SLACK = 4
+PAIRS_AT_ONCE = 100_000
 MERGE_ROWS = 200_000
 
 
@@ -86,7 +88,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     longest = sound.agg(F.max(norm)).first()[0] or 1.0
     first = Window.partitionBy("embedding").orderBy("vec_id")
     members = sound.withColumn("place", F.row_number().over(first)).where(f"place <= {k + 1}")
-    groups = sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.max("is_query").alias("asks"))
+    groups = sound.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.max("is_query").alias("asks"))
     # rows that share an id are told apart by the vector as well
     groups = groups.withColumns({"key": F.xxhash64("embedding"), "width": F.size("embedding")})
 
@@ -112,31 +114,37 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         kind = np.repeat([0, 1], [tables * len(rows), seen.size])
         yield pa.RecordBatch.from_arrays(
             [pa.array(source * 0 + width), pa.array(table), pa.array(np.concatenate([own.ravel(), seen.ravel()])),
-             pa.array(kind), part.column("key").take(pa.array(source)), part.column("embedding").take(pa.array(source))],
-            names=["width", "table", "bucket", "kind", "key", "embedding"])
+             pa.array(kind), part.column("key").take(pa.array(source)), part.column("rep").take(pa.array(source)),
+             part.column("embedding").take(pa.array(source))],
+            names=["width", "table", "bucket", "kind", "key", "rep", "embedding"])
 
     vector_type = vectors.schema["embedding"].dataType.simpleString()
-    placed = groups.select("key", "width", "asks", "embedding").mapInArrow(
-        hashed, f"width long, table long, bucket long, kind long, key long, embedding {vector_type}")
+    placed = groups.select("key", "rep", "width", "asks", "embedding").mapInArrow(
+        hashed, f"width long, table long, bucket long, kind long, key long, rep long, embedding {vector_type}")
     place = ["width", "table", "bucket"]
-    blocks = placed.where("kind = 0").groupBy(*place).agg(
-        F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, place).withColumn("block", F.explode(F.when(
-        F.col("kind") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))))
-    keys = [*place, "block"]
+    n_held, n_asking = F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)
+    blocks = placed.groupBy(*place).agg(
+        F.ceil(n_held / BUCKET_BLOCK).cast("int").alias("blocks"),
+        F.ceil(n_asking / QUERY_BLOCK).cast("int").alias("query_blocks")).where("blocks > 0 AND query_blocks > 0")
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("kind") == 0, F.col("blocks")).otherwise(F.col("query_blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("query_blocks")).otherwise(F.col("blocks")) - 1))
+    dealt = placed.join(blocks, place).withColumns({"own": own.cast("int"), "every": every}).withColumns({
+        "block": F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("every")),
+        "query_block": F.when(F.col("kind") == 0, F.col("every")).otherwise(F.col("own"))})
+    keys = [*place, "block", "query_block"]
     dealt = dealt.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "kind")
 
     def search(batches):
         found: list[tuple] = []
         rows = 0
-        for (width, _, _, _), group in grouped(batches, keys):
+        for (width, *_), group in grouped(batches, keys):
             kind = group.column("kind").to_numpy()
             if kind[0] == kind[-1]:
                 continue
-            key, x, split = group.column("key").to_numpy(), _vectors(group.column("embedding"), width), int((kind == 0).sum())
+            key, rep = group.column("key").to_numpy(), group.column("rep").to_numpy()
+            x, split = _vectors(group.column("embedding"), width), int((kind == 0).sum())
             for start in range(split, len(kind), 512):
-                found.append(_best(key[:split], x[:split], key[start:start + 512], x[start:start + 512], k))
+                found.append(_best(key[:split], rep[:split], x[:split], key[start:start + 512], x[start:start + 512], k))
                 rows += len(found[-1][0])
             if rows > MERGE_ROWS:
                 found = [_merge(found, k)]
@@ -147,10 +155,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         if found:
             yield _batch(_merge(found, k))
 
-    met = dealt.select(*keys, "kind", "key", "embedding").mapInArrow(search, "query long, other long, score double")
-    best = (met.repartition("query").groupBy("query", "other").agg(F.max("score").alias("score"))
-            .withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "other")))
-            .where(f"place <= {k + SLACK}").drop("place"))
+    met = dealt.select(*keys, "kind", "key", "rep", "embedding").mapInArrow(
+        search, "query long, other long, rep long, score double")
+    best = (met.repartition("query").groupBy("query", "other", "rep").agg(F.max("score").alias("score"))
+            .withColumn("place", F.row_number().over(
+                Window.partitionBy("query").orderBy(F.desc("score"), "rep", "other")))
+            .where(f"place <= {k + SLACK}").drop("place", "rep"))
     ids = members.select(F.xxhash64("embedding").alias("other"), "vec_id")
     # the k + 1 nearest rows of each distinct query vector, then each query row without itself
     near = (best.join(ids, "other").withColumn("place", F.row_number().over(
@@ -161,26 +171,39 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         .select("query_id", "rank", "vec_id", "score"))
 
 
-def _best(key, x, query_key, q, k):
-    """(query, other, score) of each query's nearest in one block; scores do not depend on the block."""
+def _best(key, rep, x, query_key, q, k):
+    """(query, other, rep, score) of each query's nearest in one block; scores do not depend on the block.
+
+    Fast products choose with a margin for their rounding, so that equal scores
+    are all met; the order is by exact scores, ties by the least id.
+    """
     rough = q @ x.T
     n = min(k + SLACK, len(key))
-    chosen = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-    exact = (q[:, None, :] * x[chosen]).sum(2)
-    return np.repeat(query_key, n), key[chosen].ravel(), exact.ravel()
-
-
-def _merge(found, k):
-    query, other, score = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((other, -score, query))
-    query, other, score = query[order], other[order], score[order]
+    least = np.partition(rough, len(key) - n, axis=1)[:, len(key) - n]
+    margin = 1e-12 * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+    row, column = np.nonzero(rough >= (least - margin)[:, None])
+    exact = np.concatenate([(q[row[i:i + PAIRS_AT_ONCE]] * x[column[i:i + PAIRS_AT_ONCE]]).sum(1)
+                            for i in range(0, len(row), PAIRS_AT_ONCE)])
+    return _first(query_key[row], key[column], rep[column], exact, k, row)
+
+
+def _first(query, other, rep, score, k, row=None):
+    """The ``k`` and some more first of each query."""
+    order = np.lexsort((other, rep, -score, query if row is None else row))
+    query, other, rep, score = query[order], other[order], rep[order], score[order]
     new = np.ones(len(query), bool)
     new[1:] = (query[1:] != query[:-1]) | (other[1:] != other[:-1])    # one pair, one score
-    query, other, score = query[new], other[new], score[new]
-    first = np.searchsorted(query, query)
+    query, other, rep, score = query[new], other[new], rep[new], score[new]
+    start = np.ones(len(query), bool)
+    start[1:] = query[1:] != query[:-1]
+    first = np.maximum.accumulate(np.where(start, np.arange(len(query)), 0))
     best = np.arange(len(query)) - first < k + SLACK
-    return query[best], other[best], score[best]
+    return query[best], other[best], rep[best], score[best]
+
+
+def _merge(found, k):
+    return _first(*(np.concatenate(c) for c in zip(*found)), k)
 
 
 def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["query", "other", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["query", "other", "rep", "score"])

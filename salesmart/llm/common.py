@@ -51,6 +51,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but doc_id and text under names that no operator uses."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"__extra{i}" for i, c in enumerate(docs.columns)])
+
+
 def fold(column: str, modulus: int):
     """crc32 of the id's text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from salesmart.llm.common import NO_LETTER, arrow_text, mix, ship, slices, words
 
@@ -166,6 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, over
     spark = docs.sparkSession
     ship(spark)
     item_type = benchmark.schema["item_id"].dataType
+    item_arrow = to_arrow_type(item_type)
     chosen = docs.select("doc_id", "text")
     schema = chosen.select("doc_id").schema.add("item_id", item_type).add("score", "double").add(
         "question_overlap", "double").add("answer_overlap", "double")
@@ -178,7 +180,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, over
                 rows = search(shared.value, arrow_text(part.column("text")), overlap)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
-                     pa.array([shared.value.item_ids[r[1]] for r in rows], pa.int64()),
+                     pa.array([shared.value.item_ids[r[1]] for r in rows], item_arrow),
                      *(pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3, 4))],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

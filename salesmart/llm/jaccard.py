@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import arrow_text, grouped, mix, shingles, ship, slices
+from salesmart.llm.common import apart, arrow_text, grouped, mix, shingles, ship, slices
 from salesmart.llm.components import components
 from salesmart.session import cut
 
@@ -104,11 +104,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """Every row of ``docs`` (doc_id, text, ...) with class_id, n_links and keeper.
 
     ``n_links`` counts the other rows at ``threshold`` or above; ``keeper`` is
-    true for one row of each class.  The input is written once with its
-    signatures, and the join runs up to the classes at build time.
+    true for one row of each class.  A column of ``docs`` named like one of
+    these three gives way to it.  The input is written once with its signatures,
+    and the join runs up to the classes at build time.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    given = docs.columns
+    docs = apart(docs)
     n_bands, band_rows = bands_for(threshold, recall)
     names = docs.columns
     signature_columns = [f"__b{k}" for k in range(HASHES // 4)]
@@ -153,7 +155,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     empty = signed.where("__size = 0").select(
         *[F.col(f"`{c}`") for c in names], F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
         F.lit(True).alias("keeper"))
-    return full.unionByName(empty)
+    made = ["class_id", "n_links", "keeper"]
+    return full.unionByName(empty).select(
+        *[F.col(n).alias(g) for n, g in zip(names, given) if g.lower() not in made], *made)
 
 
 def _first_rows(signed: DataFrame, by_set: DataFrame) -> DataFrame:

@@ -14,13 +14,16 @@ conversation the first by position counts, and their number is returned; a
 result without a call has status ``orphan``, a call without a result
 ``unanswered``.  References to unknown identifiers are reported and do not
 order; calls on a cycle, or behind one, have a null level.  Null identifiers or
-conversations are values like others.  Null or malformed arguments are invalid;
-null contents become JSON null.
+conversations are values like others.  Null or malformed arguments are invalid
+(NaN, infinite numbers and nesting too deep to read among them); null contents
+become JSON null, half surrogates stay escaped.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,18 +51,30 @@ def problems_of(name: str | None, arguments: str | None, schemas: dict) -> tuple
             found.append(f"unknown {field}")
         elif held is not None and (not isinstance(held, TYPES[kind]) or isinstance(held, bool) and kind != "boolean"):
             found.append(f"{field} is no {kind}")
-    return sorted(found), value
+    return sorted(map(_escaped, found)), value
+
+
+def _finite(number: str) -> float:
+    value = float(number)
+    if not math.isfinite(value):
+        raise ValueError(number)
+    return value
 
 
 def _read(text: str | None):
     try:
-        return None if text is None else json.loads(text)
-    except ValueError:
+        return None if text is None else json.loads(text, parse_float=_finite, parse_constant=_finite)
+    except (ValueError, RecursionError):
         return None
 
 
+def _escaped(text: str) -> str:
+    """Half surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def levels(calls: DataFrame) -> DataFrame:

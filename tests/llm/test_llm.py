@@ -114,6 +114,33 @@ def test_nearest_edge_cases(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_in_blocks_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    # 300 different vectors near one axis, in one score with every query along that axis
+    rows = [(1000 - i, [1.0, 0.001 * i]) for i in range(300)] + [(2000 + 20 * i, [1.0 + i, 0.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") >= 2000).orderBy("query_id", "rank").collect()
+    x = {i: np.array(v) for i, v in rows}
+    for q in range(2000, 2600, 20):
+        mine = [(r.vec_id, r.score) for r in got if r.query_id == q]
+        best = sorted(((i, float(v @ x[q])) for i, v in x.items() if i != q), key=lambda p: (-p[1], p[0]))[:20]
+        assert mine == best
+    # more equal scores than are kept: the least ids
+    rows = [(i, [1.0, 0.001 * ((i * 37) % 101)]) for i in range(1, 100)] + [(0, [1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == list(range(1, 21))
+
+
+def test_tool_call_arguments_that_json_allows_or_not():
+    tools = {"t": {"required": ["q"], "properties": {"q": "string"}}}
+    for text in ('{"q": NaN}', '{"q": 1e999}', "[" * 100_000, "[" * 100_000 + "]" * 100_000, "", "nul"):
+        assert toolcalls.problems_of("t", text, tools) == (["arguments are not an object"], None)
+    found, value = toolcalls.problems_of("t", r'{"q": "\ud800", "\udfff": 1}', tools)
+    assert found == [r"unknown \udfff"]
+    assert toolcalls.canonical(value).encode() == rb'{"q":"\ud800","\udfff":1}'
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         (1, "a", 5, "add", '{"y": 2, "x": 1}', []), (1, "b", 1, "add", '{"x": 1}', ["a"]), (1, "b", 9, "add", "{}", []),
@@ -378,3 +405,18 @@ def test_pipeline(spark, sf_dir, odd):
             assert not any(secret_scan.base_spans(t) for t in left)
     check_packing(corpus_pipeline.packing_stage(spark, docs, sf_dir).collect(),
                   {r.doc_id: [tokens(r.text)] for r in docs.collect()})
+
+
+def test_pipeline_stages_with_clashing_columns(spark, sf_dir):
+    extra = ["score", "predicted", "class_id", "keeper", "n_links", "__size", "row", "root", "copies", "positive", "item_id"]
+    rows = [(1, "one two three four five six seven eight"), (2, "one two three four five six seven eight"), (3, None)]
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text", *[F.lit(c).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        got = got.collect()
+        assert {r.doc_id for r in got} == ({1, 3} if name == "ngram_jaccard" else {1, 2, 3})
+        assert all(r[c] == c for r in got for c in extra)
+    assert corpus_pipeline.packing_stage(spark, docs, sf_dir).count() == 3
+    classes = jaccard.jaccard_classes(docs)
+    assert classes.columns.count("class_id") == 1 and {r.class_id for r in classes.collect()} == {1, 3}
