@@ -12,20 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.llm import decontam, jaccard, packing, secret_scan, toxicity
-from salesmart.llm.common import table
+from salesmart.llm.common import apart, table
 from salesmart.session import cut
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.score_toxicity(docs, model, docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    rows = apart(docs)      # a column of documents may be called score
+    scored = toxicity.score_toxicity(rows, model, rows.columns)
+    return scored.where("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id."""
-    return jaccard.jaccard_classes(docs).where("keeper").select(*docs.columns)
+    rows = apart(docs)
+    return jaccard.jaccard_classes(rows).where("keeper").select(*rows.columns).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
