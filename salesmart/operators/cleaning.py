@@ -17,6 +17,7 @@ from salesmart.functions.scoring import (
 from salesmart.plans.lookups import attach
 from salesmart.plans.ranking import INDEX, SIZE, interior, quantiles, with_position
 from salesmart.schemas import RATE, TRANSACTION_TYPES
+from salesmart.session import cut
 
 LINE_NUMBERS = [
     "qnty_total", "qnty_uomstk", "bal_qnty_total", "bal_qnty_uomstk", "price_unitlist_forex",
@@ -33,8 +34,13 @@ def keys_of(scope: str) -> list[str]:
 
 def label_by_quantile(df: DataFrame, value: Column, name: str, labels: list[str],
                       scope: str = "tenant", exact: bool = True) -> DataFrame:
-    """Label every row by the quantile bucket of ``value``; ties never fail."""
+    """Label every row by the quantile bucket of ``value``; ties never fail.
+
+    The rows are written once at build time: the edges and the labels both read
+    them, and what made them (joins, groupings) is not repeated.
+    """
     keys, k = keys_of(scope), len(labels)
+    df = cut(df)
     edges = quantiles(df, keys, value, interior(k), "_edges", exact)
     return (
         attach(df, edges, keys)

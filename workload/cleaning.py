@@ -105,6 +105,12 @@ SELECT idcode, uniquenum_uniq, companyfn, uniquenum_pri, stkcode_code, stkcode_d
   CAST(discount_pct AS DOUBLE) AS discount_pct, CAST(amount_local AS DOUBLE) AS amount_local,
   line_total, line_total * CAST(discount_pct AS DOUBLE) / 100 AS discount_amount,
   line_total - line_total * CAST(discount_pct AS DOUBLE) / 100 AS net_amount,
+  row_item_num, brand_code, stkcate_code, stkvendor_code, tag_void_yn, tag_closedmain_yn,
+  CAST(CASE WHEN pkey % 9 = 0 THEN 0 ELSE amount_tax_local END AS DOUBLE) AS amount_tax_local,
+  CAST(CASE WHEN pkey % 8 = 0 THEN 0 ELSE price_unitlist_local END AS DOUBLE) AS price_unitlist_local,
+  CAST(qnty_total AS DOUBLE) AS qnty_uomstk, CAST(qnty_total AS DOUBLE) AS bal_qnty_total,
+  CAST(qnty_total AS DOUBLE) AS bal_qnty_uomstk, CAST(0 AS DOUBLE) AS price_unitrate_forex,
+  CAST(0 AS DOUBLE) AS amount_forex, CAST(0 AS DOUBLE) AS amount_tax_forex,
   year(date_trans) AS year, month(date_trans) AS month, quarter(date_trans) AS quarter,
   stkcode_code || '_' || CASE WHEN pkey % 23 = 0 THEN '0' ELSE stkcode_unique END AS product_id
 FROM dirty""")
@@ -112,8 +118,10 @@ def _(spark, sf_dir):
     return plain(cl.clean_lines(dirty_lines(spark, sf_dir)).select(
         "idcode", "uniquenum_uniq", "companyfn", "uniquenum_pri", "stkcode_code", "stkcode_desc", "stkcode_unique",
         "brand_desc", "stkcate_desc", "stkvendor_desc", "notes_memo", "date_trans", "qnty_total",
-        "price_unitrate_local", "price_unitlist_forex", "discount_pct", "amount_local", "line_total",
-        "discount_amount", "net_amount", "year", "month", "quarter", "product_id"))
+        "price_unitrate_local", "price_unitlist_forex", "discount_pct", "amount_local", "row_item_num", "brand_code",
+        "stkcate_code", "stkvendor_code", "tag_void_yn", "tag_closedmain_yn", "amount_tax_local",
+        "price_unitlist_local", "qnty_uomstk", "bal_qnty_total", "bal_qnty_uomstk", "price_unitrate_forex",
+        "amount_forex", "amount_tax_forex", "line_total", "discount_amount", "net_amount", "year", "month", "quarter", "product_id"))
 
 
 @query("revenue_levels", with_tables(HDR, REVENUE_SQL, edges_sql("revenue", "amt_local", 3)) + f"""

@@ -152,13 +152,15 @@ def dirty_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with missing brands, categories and product identifiers."""
+    """Lines with missing brands, categories and product identifiers, and unreadable numbers."""
     df = lines(spark, sf_dir)
     key = F.col("stkcode_unique").cast("long")
     return df.withColumns({
         "brand_desc": F.when(key % 10 != 0, F.col("brand_desc")),
         "stkcate_desc": F.when(key % 15 != 0, F.col("stkcate_desc")),
         "stkcode_unique": F.when(key % 23 != 0, F.col("stkcode_unique")),
+        "amount_tax_local": F.when(key % 9 == 0, F.lit("n/a")).otherwise(F.col("amount_tax_local").cast("string")),
+        "price_unitlist_local": F.when(key % 8 != 0, F.col("price_unitlist_local").cast("string")).otherwise(F.lit("")),
     })
 
 
