@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled by the largest norm and get one more coordinate that brings
-them to length one, so the largest inner product is the smallest angle.  A
-table turns all vectors by three rounds of random signs and a fast Hadamard
-transform; a vector's bucket is the signed axis it is nearest to.  A query
-looks into its ``probes`` nearest buckets of each table; what it meets there is
-scored exactly, in double precision.
+Vectors are hashed by their direction, so that no vector's bucket depends on
+another's length.  A table turns all vectors by three rounds of random signs and
+a fast Hadamard transform; a vector's bucket is the signed axis it is nearest
+to.  A query looks into its ``probes`` nearest buckets of each table; what it
+meets there is scored by its inner product, in double precision.  A query that
+meets fewer than ``k + 1`` different vectors is scored against all of them.
 
 Equal vectors are searched once: of a group only the ``k + 1`` smallest ids can
 be among anyone's ``k`` nearest (ties go to smaller ids).  A bucket's vectors
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from salesmart.llm.common import grouped, ship
+from salesmart.session import cut
 
 TABLES, PROBES, SEED = 28, 8, 7
 BUCKET_BLOCK, QUERY_BLOCK = 2048, 4096
@@ -84,13 +85,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
              .where("vec_id IS NOT NULL AND embedding IS NOT NULL")
              .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
              .where(F.exists("embedding", lambda x: x != 0)))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    longest = sound.agg(F.max(norm)).first()[0] or 1.0
     first = Window.partitionBy("embedding").orderBy("vec_id")
     members = sound.withColumn("place", F.row_number().over(first)).where(f"place <= {k + 1}")
     groups = sound.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.max("is_query").alias("asks"))
     # rows that share an id are told apart by the vector as well
-    groups = groups.withColumns({"key": F.xxhash64("embedding"), "width": F.size("embedding")})
+    groups = cut(groups.withColumns({"key": F.xxhash64("embedding"), "width": F.size("embedding")}))
 
     def hashed(batches):
         for batch in batches:
@@ -101,14 +100,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
                     yield from _hash(part.slice(start, 1024), int(width))
 
     def _hash(part, width):
-        x = _vectors(part.column("embedding"), width) / longest
-        x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
+        x = _vectors(part.column("embedding"), width)
+        x = x / np.abs(x).max(1, keepdims=True)      # first by the largest component, whose square may overflow
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
         rows = np.arange(part.num_rows)
         asks = np.flatnonzero(part.column("asks").to_numpy(zero_copy_only=False))
         own = axes(x, tables, 1, seed)
-        q = x[asks]
-        q[:, -1] = 0
-        seen = axes(q, tables, probes, seed)
+        seen = axes(x[asks], tables, probes, seed)
         source = np.concatenate([np.tile(rows, tables), np.tile(np.repeat(asks, seen.shape[2]), tables)])
         table = np.concatenate([np.repeat(np.arange(tables), len(rows)), np.repeat(np.arange(tables), seen[0].size)])
         kind = np.repeat([0, 1], [tables * len(rows), seen.size])
@@ -122,17 +120,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     placed = groups.select("key", "rep", "width", "asks", "embedding").mapInArrow(
         hashed, f"width long, table long, bucket long, kind long, key long, rep long, embedding {vector_type}")
     place = ["width", "table", "bucket"]
-    n_held, n_asking = F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)
-    blocks = placed.groupBy(*place).agg(
-        F.ceil(n_held / BUCKET_BLOCK).cast("int").alias("blocks"),
-        F.ceil(n_asking / QUERY_BLOCK).cast("int").alias("query_blocks")).where("blocks > 0 AND query_blocks > 0")
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("kind") == 0, F.col("blocks")).otherwise(F.col("query_blocks")))
-    every = F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("query_blocks")).otherwise(F.col("blocks")) - 1))
-    dealt = placed.join(blocks, place).withColumns({"own": own.cast("int"), "every": every}).withColumns({
-        "block": F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("every")),
-        "query_block": F.when(F.col("kind") == 0, F.col("every")).otherwise(F.col("own"))})
     keys = [*place, "block", "query_block"]
-    dealt = dealt.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "kind")
 
     def search(batches):
         found: list[tuple] = []
@@ -155,12 +143,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
         if found:
             yield _batch(_merge(found, k))
 
-    met = dealt.select(*keys, "kind", "key", "rep", "embedding").mapInArrow(
-        search, "query long, other long, rep long, score double")
-    best = (met.repartition("query").groupBy("query", "other", "rep").agg(F.max("score").alias("score"))
-            .withColumn("place", F.row_number().over(
-                Window.partitionBy("query").orderBy(F.desc("score"), "rep", "other")))
-            .where(f"place <= {k + SLACK}").drop("place", "rep"))
+    def best_met(placed, hint=lambda blocks: blocks):
+        """Each query's first groups among those it shares a place with."""
+        n_held, n_asking = F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)
+        blocks = placed.groupBy(*place).agg(
+            F.ceil(n_held / BUCKET_BLOCK).cast("int").alias("blocks"),
+            F.ceil(n_asking / QUERY_BLOCK).cast("int").alias("query_blocks")).where("blocks > 0 AND query_blocks > 0")
+        own = F.pmod(F.xxhash64("key"), F.when(F.col("kind") == 0, F.col("blocks")).otherwise(F.col("query_blocks")))
+        every = F.explode(F.sequence(
+            F.lit(0), F.when(F.col("kind") == 0, F.col("query_blocks")).otherwise(F.col("blocks")) - 1))
+        dealt = placed.join(hint(blocks), place).withColumns({"own": own.cast("int"), "every": every}).withColumns({
+            "block": F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("every")),
+            "query_block": F.when(F.col("kind") == 0, F.col("every")).otherwise(F.col("own"))})
+        dealt = dealt.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "kind")
+        met = dealt.select(*keys, "kind", "key", "rep", "embedding").mapInArrow(
+            search, "query long, other long, rep long, score double")
+        return (met.repartition("query").groupBy("query", "other", "rep").agg(F.max("score").alias("score"))
+                .withColumn("place", F.row_number().over(
+                    Window.partitionBy("query").orderBy(F.desc("score"), "rep", "other")))
+                .where(f"place <= {k + SLACK}").drop("place", "rep"))
+
+    best = cut(best_met(placed))
+    served = best.groupBy("query").count().where(F.col("count") > k).select("query")
+    short = groups.where("asks").join(served, F.col("key") == F.col("query"), "left_anti")
+    if not short.isEmpty():
+        # one place for all vectors of a width; a row of block counts for each width
+        whole = groups.withColumn("kind", F.lit(0)).unionByName(short.withColumn("kind", F.lit(1))).select(
+            F.col("width").cast("long").alias("width"), F.lit(0).cast("long").alias("table"),
+            F.lit(0).cast("long").alias("bucket"), F.col("kind").cast("long").alias("kind"), "key", "rep", "embedding")
+        best = best.join(served, "query", "left_semi").unionByName(best_met(whole, F.broadcast))
     ids = members.select(F.xxhash64("embedding").alias("other"), "vec_id")
     # the k + 1 nearest rows of each distinct query vector, then each query row without itself
     near = (best.join(ids, "other").withColumn("place", F.row_number().over(

@@ -132,6 +132,27 @@ def test_nearest_in_blocks_with_ties(spark, monkeypatch):
     assert [r.vec_id for r in got.orderBy("rank").collect()] == list(range(1, 21))
 
 
+@pytest.mark.parametrize("kind", ["one long", "mixed norms", "few"])
+def test_nearest_with_unlike_norms_and_few_vectors(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(15 if kind == "few" else 500, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if kind == "one long":
+        x[3] *= 100
+    if kind == "mixed norms":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 10 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits, wanted = 0, 0
+    for q in range(0, len(x), 10):
+        best = [i for i in np.argsort(-(x @ x[q])) if i != q][:20]
+        assert len(found[q]) == len(best)
+        hits, wanted = hits + len(found[q] & set(best)), wanted + len(best)
+    assert hits >= (1 if kind == "few" else 0.9) * wanted
+
+
 def test_tool_call_arguments_that_json_allows_or_not():
     tools = {"t": {"required": ["q"], "properties": {"q": "string"}}}
     for text in ('{"q": NaN}', '{"q": 1e999}', "[" * 100_000, "[" * 100_000 + "]" * 100_000, "", "nul"):
