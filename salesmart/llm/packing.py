@@ -52,7 +52,8 @@ class PieceTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold an added token (such as an end mark) are split around it first
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.full(0x110000, OTHER, np.uint8)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         for name, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
@@ -64,11 +65,12 @@ class PieceTokenizer:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        # contractions are split by a rule of their own; such texts go the plain way
-        plain = [i for i, t in enumerate(texts) if "'" in t]
+        # contractions and added tokens are split by rules of their own; such texts go the plain way
+        fast = ["'" not in t and not any(a in t for a in self.added) for t in texts]
+        plain = [i for i, f in enumerate(fast) if not f]
         for i, e in zip(plain, self.tokenizer.encode_batch_fast([texts[i] for i in plain], add_special_tokens=False)):
             out[i] = np.array(e.ids, np.uint32)
-        rest = [i for i, t in enumerate(texts) if "'" not in t]
+        rest = [i for i, f in enumerate(fast) if f]
         joined = "".join(texts[i] for i in rest)
         offs = np.concatenate([[0], np.cumsum([len(texts[i]) for i in rest])]).astype(np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)

@@ -68,6 +68,19 @@ def test_packing(spark, sf_dir, docs, odd, nothing):
     assert packing.pack_documents(nothing, ["doc_id"]).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "it's<|endoftext|>1", "plain text  here", "<|endoftext|", ""]
+    wanted = {i: loaded.encode(t, add_special_tokens=False).ids + [packing.END_ID] for i, t in enumerate(texts)}
+    assert wanted[0] == [437, 220, 50256, 1306, packing.END_ID]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = packing.pack_documents(df, ["doc_id"], with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == wanted
+
+
 def test_pack_patterns_place_every_length():
     rng = np.random.default_rng(1)
     histogram = Counter(rng.integers(1, 2049, 3000).tolist())
