@@ -29,7 +29,6 @@ from salesmart.llm.common import NO_LETTER, arrow_text, ship, slices, words
 DIMS = 1 << 20
 #: bounds of the training sample (rows taken by the order of a hash of the id)
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
-LEAST_TEXTS = 8  # a word counts when so many training texts hold it
 STEPS, SPARSITY = 200, 5e-4
 
 
@@ -73,8 +72,6 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     feature = np.concatenate(texts).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     held = np.bincount(feature, minlength=DIMS)
-    seen = held >= LEAST_TEXTS
-    doc, feature = doc[seen[feature]], feature[seen[feature]]
     used, column = np.unique(feature, return_inverse=True)
     rarity = np.log((len(texts) + 1) / held[used])       # words that all texts hold say little
     value = rarity[column]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,22 @@ def test_classifiers_on_held_out_labels(spark, name, label, rest, held):
     assert np.mean(right) > 0.92
 
 
+def test_toxic_documents_of_a_small_table_are_found(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels), ["doc_id"])
+    rows = scored.join(labels.where("toxic IS NOT NULL"), "doc_id").collect()
+    assert sum(r.toxic for r in rows) > 5
+    assert all(r.predicted == 1 for r in rows if r.toxic == 1)
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 1
+    # a word that few texts hold counts all the same
+    names = ["red", "green", "blue", "grey", "pink"]
+    texts = [(i, f"{names[i % 5]} {names[i % 3]} paint{' scum' if i < 5 else ''}") for i in range(60)]
+    toxic = spark.createDataFrame([(i, int(i < 5)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(spark.createDataFrame(texts, DOCS), toxic)
+    plain, marked = model.scores(pa.array(["red green paint", "red green paint scum"]))
+    assert plain < 0.5 <= marked
+
+
 def test_classifiers_edge_cases(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     some = spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, 1, 1), (8, None, None)], none.schema)
