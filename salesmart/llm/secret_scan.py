@@ -2,7 +2,7 @@
 
 Three kinds of spans are found by pattern alone (``assign``, ``access``,
 ``hex``).  The fourth, ``guess``, looks at values that follow a wider set of
-credential words, may hold any sign, and are not covered by an ``assign`` span.
+credential words, may hold any sign but blanks, and are not covered whole by one of the others.
 A dynamic program finds the cheapest way to guess such a value as a chain of
 known words, dates, repeats, keyboard walks and brute-force characters; values
 that cost more than ``LEAST_COST`` are reported.  Placeholders such as
@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")   # the maximal runs of 24 or more
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-# credential words before a value, and the values' form
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
-                     r"""|private[_-]?key|client[_-]?secret|credentials?)["']?\x20*[:=]\x20*["']?([!-~]{8,})""",
+# credential words before a value, and the values' form: to the closing quote, or to a sign before another key
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key"""
+                     r"""|private[_-]?key|client[_-]?secret|credentials?)["']?\x20*[:=]\x20*(["']?)""",
                      re.IGNORECASE | re.ASCII)
+VALUES = {'"': re.compile(r'(?:\\[!-~]|[!#-~])*'), "'": re.compile(r"(?:\\[!-~]|[!-&(-~])*"),
+          "": re.compile(r"""(?:[!-%'-+\--:<-~]|[,&;](?!["']?[A-Za-z_][A-Za-z0-9_.-]*["']?\x20*[:=]))*""")}
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
 LEAST_COST = 10.0     # log10 of guesses
 LONGEST_PART = 64     # keys in one walk, or characters in a block said again; longer ones are several parts
@@ -142,19 +145,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], least_cost: float) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of costly values in credential context that no ``assign`` span touches."""
+    """(start, kind number, end) of costly values in credential context that no base span covers whole."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    taken = [(s, e) for s, kind, e in base if kind == 0]      # in order, none overlapping
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))     # the farthest end of the spans up to each
     out = []
-    for m in CONTEXT.finditer(text):
-        value = m.group(2).rstrip("\"',;.)")
-        start, end = m.start(2), m.start(2) + len(value)
-        before = bisect_left(taken, (end,))
-        free = before == 0 or taken[before - 1][1] <= start
-        if len(value) >= 8 and free and guess_cost(value)[0] >= least_cost:
+    done = fence = 0      # ends of what is found already, and of the last quoted value
+    for m in CONTEXT.finditer(text):      # only up to the value, which may hold further words
+        quote, start = m.group(1), m.end()
+        if start < done and not quote:
+            continue      # the rest of a value that is found
+        value = VALUES[quote].match(text, start, fence if start < fence else len(text)).group()
+        end = start + len(value)
+        if quote and text.startswith(quote, end):
+            fence = max(fence, end)
+        else:
+            value = value.rstrip("\"',;.)")
+            end = start + len(value)
+        if len(value) < 8 or end <= done:
+            continue
+        before = bisect_right(starts, start)
+        if before and ends[before - 1] >= end:
+            done = end
+        elif guess_cost(value)[0] >= least_cost:
             out.append((start, 3, end))
+            done = end
     return out
 
 
