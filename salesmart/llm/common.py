@@ -81,16 +81,20 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of at most ``limit`` bytes of text; a longer text comes alone."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
-        start, total = 0, 0
-        for i, n in enumerate(sizes):
-            if i > start and total + n > limit:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        yield batch.slice(start)
+        if batch.num_rows:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
+            yield from parts(batch, sizes, limit)
+
+
+def parts(batch: pa.RecordBatch, sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose sizes sum to at most ``limit``; a larger row comes alone."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    yield batch.slice(start)
 
 
 # -- words ---------------------------------------------------------------
