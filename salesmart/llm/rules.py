@@ -102,7 +102,8 @@ def repeat_words(words: Column) -> Column:
     def windows(words: Column) -> Column:
         starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
         return F.sort_array(F.transform(starts, lambda word, i: F.struct(
-            F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, WINDOW)]).alias("w"), i.alias("at"))))
+            F.concat(word, *[c for k in range(1, WINDOW) for c in (F.lit(" "), F.get(words, i + k))]).alias("w"),
+            i.alias("at"))))
 
     def places(windows: Column) -> Column:
         def place(window: Column, i: Column) -> Column:
