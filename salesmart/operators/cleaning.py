@@ -15,7 +15,7 @@ from salesmart.functions.scoring import (
     FIVE_LEVELS, THREE_LEVELS, bucket_of, labelled, rank_bucket, segment_of,
 )
 from salesmart.plans.lookups import attach
-from salesmart.plans.ranking import INDEX, SIZE, interior, quantiles, with_position
+from salesmart.plans.ranking import INDEX, SIZE, in_order, interior, positions, quantiles
 from salesmart.schemas import RATE, TRANSACTION_TYPES
 from salesmart.session import cut
 
@@ -51,8 +51,8 @@ def label_by_quantile(df: DataFrame, value: Column, name: str, labels: list[str]
 
 def flag_outliers(df: DataFrame, value: str, name: str = "is_outlier", fraction: float = 0.99,
                   scope: str = "tenant", exact: bool = True) -> DataFrame:
-    """1 where the magnitude exceeds the quantile of the signed values."""
-    keys = keys_of(scope)
+    """1 where the magnitude exceeds the quantile of the signed values; the rows are written once at build time."""
+    keys, df = keys_of(scope), cut(df)
     edge = quantiles(df, keys, F.col(value), [fraction], "_edges", exact)
     above = F.abs(F.col(value).cast("double")) > F.element_at("_edges", 1)
     return (
@@ -154,9 +154,8 @@ def product_segments_by_revenue(products: DataFrame, scope: str = "tenant", exac
     return label_by_quantile(df, F.abs("revenue"), "revenue_segment", FIVE_LEVELS, scope, exact)
 
 
-def _ranked_score(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    placed = with_position(df, keys, order)
-    return placed.withColumn(name, rank_bucket(F.col(INDEX), F.col(SIZE), 5)).drop(INDEX, SIZE)
+def _ranked_score(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return positions(rows, keys).withColumn(name, rank_bucket(F.col(INDEX), F.col(SIZE), 5)).drop(INDEX, SIZE)
 
 
 def rfm_scores(df: DataFrame, recency: str, frequency: str, monetary: str, ties: list[Column],
@@ -164,14 +163,15 @@ def rfm_scores(df: DataFrame, recency: str, frequency: str, monetary: str, ties:
     """Recency, frequency and monetary scores 1..5, their mean and a segment.
 
     Recency is bucketed by value (recent is 5); frequency and monetary by rank,
-    ties broken by ``ties``, which must make the order total.
+    ties broken by ``ties``, which must make the order total.  The rows are
+    written twice, once in the order of each rank; recency reads the first.
     """
     keys = keys_of(scope)
-    edges = quantiles(df, keys, F.col(recency), interior(5), "_edges", exact)
-    df = attach(df, edges, keys).withColumn(
+    by_frequency = in_order(df, keys, [F.col(frequency), *ties])
+    edges = quantiles(by_frequency, keys, F.col(recency), interior(5), "_edges", exact)
+    df = attach(_ranked_score(by_frequency, keys, "frequency_score"), edges, keys).withColumn(
         "recency_score", 6 - bucket_of(F.col(recency), F.col("_edges"), 5)).drop("_edges")
-    df = _ranked_score(df, keys, [F.col(frequency), *ties], "frequency_score")
-    df = _ranked_score(df, keys, [F.col(monetary), *ties], "monetary_score")
+    df = _ranked_score(in_order(df, keys, [F.col(monetary), *ties]), keys, "monetary_score")
     total = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
     return df.withColumns({"rfm_score": total / 3, "customer_segment": segment_of(total)})
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -47,30 +47,131 @@ def train_recommender(facts: DataFrame, rank: int = 10, iterations: int = 10) ->
 
 
 def candidates(facts: DataFrame, per_category: int = 20) -> DataFrame:
-    """Products a customer may want: the most bought of the favourite category, without those bought already.
+    """Products a customer may want: the most bought of the favourite category among those not bought yet.
 
     ``popularity`` ranks a category's products by their number of buyers, ties
-    by code.  A customer gets at most ``per_category`` rows, so the table grows
-    with the customers and not with customers times products.
+    by code.  A customer gets the first ``per_category`` they have not bought:
+    the places up to that number plus what they have bought of the category are
+    looked at, in slices of ``per_category`` places, so the work grows with the
+    customers and their purchases and not with customers times products.
     """
     known = facts.where(F.col("customer_id").isNotNull() & F.col("product_code").isNotNull())
     liked = features.favorites(known).where(F.col("favorite_category").isNotNull()).select(
         "companyfn", "customer_id", F.col("favorite_category").alias("category_name"))
-    buyers = known.groupBy("companyfn", "category_name", "product_code").agg(
-        F.countDistinct("customer_id").alias("buyers"))
+    bought = cut(known.select("companyfn", "customer_id", "category_name", "product_code").distinct())
+    buyers = bought.groupBy("companyfn", "category_name", "product_code").agg(F.count(F.lit(1)).alias("buyers"))
     place = F.row_number().over(
         W.partitionBy("companyfn", "category_name").orderBy(F.desc("buyers"), F.col("product_code")))
-    popular = buyers.withColumn("popularity", place).where(F.col("popularity") <= per_category)
-    bought = known.select("companyfn", "customer_id", "product_code").distinct()
-    return liked.join(popular, ["companyfn", "category_name"]).join(
-        bought, ["companyfn", "customer_id", "product_code"], "left_anti")
+    slice_of = F.expr(f"(popularity - 1) div {per_category}")
+    popular = buyers.withColumn("popularity", place).withColumn("_slice", slice_of)
+
+    own = bought.groupBy("companyfn", "customer_id", "category_name").agg(F.count(F.lit(1)).alias("_own"))
+    reach = liked.join(own, ["companyfn", "customer_id", "category_name"], "left").withColumn(
+        "_reach", F.coalesce("_own", F.lit(0)) + per_category)
+    slices = F.sequence(F.lit(0).cast("long"), F.expr(f"(_reach - 1) div {per_category}"))
+    new = reach.withColumn("_slice", F.explode(slices)).join(
+        popular, ["companyfn", "category_name", "_slice"]).where("popularity <= _reach").join(
+        bought.select("companyfn", "customer_id", "product_code"), ["companyfn", "customer_id", "product_code"],
+        "left_anti")
+    best = F.row_number().over(W.partitionBy("companyfn", "customer_id").orderBy("popularity"))
+    return new.withColumn("_best", best).where(F.col("_best") <= per_category).select(
+        "companyfn", "customer_id", "product_code", "category_name", "buyers", "popularity")
+
+
+def _norm(factors: Column) -> Column:
+    return F.sqrt(F.aggregate(factors, F.lit(0.0), lambda total, x: total + x * x))
+
+
+def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame, n: int = 5,
+                  block_rows: int = 256) -> DataFrame:
+    """The ``n`` products of the largest inner product that a customer has not bought, of all the tenant's.
+
+    ``customers`` and ``products`` hold one array ``factors`` per (companyfn,
+    customer_id) and (companyfn, product_code), all of one length; ``bought``
+    holds the pairs to leave out.  Ties go to the smaller code.  A customer gets
+    ``min(n, unbought)`` rows.  Nothing is approximate and no category is cut.
+
+    A tenant's products are sorted by the length of their factors and dealt into
+    blocks of ``block_rows``.  No product of a block can score more than the
+    customer's length times the block's longest (Cauchy-Schwarz), so a customer
+    whose n-th score is higher is done: with this block and with all after it.
+    Each round takes four times as many blocks as all before, so the rounds grow
+    with the logarithm of the products.  Customers meet the blocks they need by
+    an equi-join on (tenant, block); a block's products are one row, and of the
+    scores in it only the best ``n`` leave the row.
+    """
+    placed = with_position(products.select("companyfn", "product_code", F.col("factors").cast("array<double>"))
+                           .withColumn("_long", _norm(F.col("factors"))), ["companyfn"],
+                           [F.desc("_long"), F.col("product_code")])
+    placed = cut(placed.withColumn("_block", F.expr(f"{INDEX} div {block_rows}")).drop(INDEX, SIZE))
+    # a block's rows are bounded by ``block_rows``
+    blocks = cut(placed.groupBy("companyfn", "_block").agg(
+        F.collect_list(F.struct("product_code", "factors")).alias("_products"), F.max("_long").alias("_longest")))
+    limits = cut(blocks.select("companyfn", "_block", "_longest"))
+    skipped = cut(bought.select("companyfn", "customer_id", "product_code").distinct()
+                  .join(placed.select("companyfn", "product_code", "_block"), ["companyfn", "product_code"])
+                  .groupBy("companyfn", "customer_id", "_block").agg(F.collect_list("product_code").alias("_bought")))
+
+    key = ["companyfn", "customer_id"]
+    waiting = cut(customers.select(*key, F.col("factors").cast("array<double>").alias("_mine")).withColumns({
+        "_reach": _norm(F.col("_mine")), "_least": F.lit(None).cast("double")}))
+    best, first, last = None, 0, 1
+    total = limits.agg(F.max("_block")).first()[0]
+    while total is not None and first <= total:
+        found = _best_of_blocks(waiting, blocks, skipped, first, last, n)
+        found = found if best is None else best.unionByName(found)
+        order = W.partitionBy(*key).orderBy(F.desc("purchase_score"), "product_code")
+        best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank"))
+        least = best.groupBy(*key).agg(F.when(F.count(F.lit(1)) == n, F.min("purchase_score")).alias("_least"))
+        following = limits.where(F.col("_block") == last).select("companyfn", "_longest")
+        waiting = cut(waiting.drop("_least").join(least, key, "left").join(following, "companyfn").where(
+            _may_reach(F.col("_reach"), F.col("_longest"), F.col("_least"))).drop("_longest"))
+        if waiting.isEmpty():
+            break
+        first, last = last, 4 * last
+    if best is None:
+        best = waiting.select(*key, F.lit("").alias("product_code"), F.lit(0.0).alias("purchase_score")).limit(0)
+    return recommendations(best, n)
+
+
+def _may_reach(reach: Column, longest: Column, least: Column) -> Column:
+    """Whether a product that long can still come among the best; ties may, and the bound is rounded up."""
+    return least.isNull() | (reach * longest * (1 + 1e-9) + 1e-300 >= least)
+
+
+def _best_of_blocks(waiting: DataFrame, blocks: DataFrame, skipped: DataFrame, first: int, last: int,
+                    n: int) -> DataFrame:
+    """The best ``n`` of each block from ``first`` on and before ``last``, for every customer who may need it."""
+    key = ["companyfn", "customer_id"]
+    needed = waiting.withColumn("_block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
+    met = needed.join(blocks.where(F.col("_block").between(first, last - 1)), ["companyfn", "_block"]).where(
+        _may_reach(F.col("_reach"), F.col("_longest"), F.col("_least")))
+    met = met.join(skipped, [*key, "_block"], "left")
+    free = F.filter("_products", lambda p: F.col("_bought").isNull() | ~F.array_contains("_bought", p["product_code"]))
+
+    def scored(product: Column) -> Column:
+        pairs = F.zip_with(F.col("_mine"), product["factors"], lambda a, b: a * b)
+        # the highest score first: its negative, so that ties go to the smaller code
+        return F.struct((-F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)).alias("lost"),
+                        product["product_code"].alias("product_code"))
+    top = F.slice(F.sort_array(F.transform(free, scored)), 1, n)
+    return met.select(*key, F.explode(top).alias("_top")).select(
+        *key, F.col("_top.product_code").alias("product_code"), (-F.col("_top.lost")).alias("purchase_score"))
+
+
+def learned_factors(fitted: tuple) -> tuple[DataFrame, DataFrame]:
+    """The factors of a trained recommender by customer and by product."""
+    model, customers, products = fitted
+    mine = model.userFactors.withColumnsRenamed({"id": "customer_number", "features": "factors"})
+    theirs = model.itemFactors.withColumnsRenamed({"id": "product_number", "features": "factors"})
+    return (mine.join(customers, "customer_number").select("companyfn", "customer_id", "factors"),
+            theirs.join(products, "product_number").select("companyfn", "product_code", "factors"))
 
 
 def purchase_scores(fitted: tuple, pairs: DataFrame) -> DataFrame:
     """Score of each given (tenant, customer, product) pair.
 
-    Work grows with the pairs passed in; scoring every customer against every
-    product would be a cross join and is left to the caller to ask for.
+    Work grows with the pairs passed in; ``best_unbought`` finds the best of all.
     """
     model, customers, products = fitted
     numbered = (

@@ -148,3 +148,47 @@ def test_attach(spark):
 
 def test_interior():
     assert interior(5) == [0.2, 0.4, 0.6, 0.8]
+
+
+@pytest.mark.parametrize("margin,small", [(0.02, 20), (0.01, 1_000_000), (0.3, 5)])
+def test_bracketed_quantiles_equal_numpy(spark, margin, small):
+    """Large groups are bracketed, crowded brackets cut, narrow ones widened; small groups and nulls as before."""
+    rng = np.random.default_rng(11)
+    data = pd.concat([skewed(), pd.DataFrame({"companyfn": "smooth", "id": np.arange(3000), "value": rng.lognormal(0, 9, 3000)}),
+                      pd.DataFrame({"companyfn": "two", "id": [1, 2], "value": [3.0, 4.0]})])
+    fractions = [0.99, 0.2, 0.5, 0.0, 1.0]
+    rows = spark.createDataFrame(data).repartition(8).unionByName(
+        spark.createDataFrame([("two", 3, None), (None, 1, 7.5)], "companyfn string, id long, value double"))
+    got = exact_quantiles(rows, ["companyfn"], F.col("value"), fractions, "q", margin, small).collect()
+    assert len(got) == data.companyfn.nunique() + 1
+    for row in got:
+        values = data[data.companyfn == row["companyfn"]].value if row["companyfn"] else [7.5]
+        assert np.allclose(row["q"], np.quantile(values, fractions), rtol=1e-12, atol=1e-9), row
+    pooled = exact_quantiles(rows, [], F.col("value"), fractions, "q", margin, small).first()["q"]
+    assert np.allclose(pooled, np.quantile([*data.value, 7.5], fractions), rtol=1e-12, atol=1e-9)
+    empty = exact_quantiles(rows.limit(0), ["companyfn"], F.col("value"), fractions, "q", margin, small)
+    assert empty.count() == 0
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """A sketch is only a guess: were it wrong, exact counts notice."""
+    from salesmart.plans import ranking
+    made = []
+    bracketed = ranking._bracketed
+
+    def wrong_at_first(values, keys, fractions, margin):
+        made.append(margin)
+        return bracketed(values, keys, [0.0 * f for f in fractions] if len(made) == 1 else fractions, margin)
+    monkeypatch.setattr(ranking, "_bracketed", wrong_at_first)
+    df = spark.range(5000).select(F.lit("t").alias("companyfn"), F.col("id").cast("double").alias("value"))
+    assert exact_quantiles(df, ["companyfn"], F.col("value"), [0.5], "q", 0.01).first()["q"] == [2499.5]
+    assert len(made) == 2
+
+
+def test_quantiles_and_ranks_sort_once(spark):
+    """No quantile sorts its values, and a rank is one exchange."""
+    df = spark.createDataFrame(skewed())
+    labelled = label_by_quantile(df, F.col("value"), "label", ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in labelled
+    placed = with_position(df, ["companyfn"], [F.col("value"), F.col("id")])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in placed and "hashpartitioning" not in placed

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from salesmart.operators import churn, features, forecast, models, recommend
+from salesmart.session import cut
 from workload.catalog import HDR, JOINED, LIN, plain, query, with_tables
 from workload.cleaning import CIRCLE, CIRCLE_SQL
 from workload.features import RFM_FACTS
@@ -233,20 +234,27 @@ def _(spark, sf_dir):
 
 
 CANDIDATE_FACTS = ["companyfn", "customer_id", "product_code", "category_name", "brand_desc"]
-CANDIDATES_SQL = """liked AS (
+
+
+def candidates_sql(per_category):
+    """The most bought products of the favourite category that a customer has not bought."""
+    return f"""liked AS (
   SELECT companyfn, customer_id, category_name FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY companyfn, customer_id ORDER BY n DESC, category_name) AS rn
     FROM (SELECT companyfn, customer_id, category_name, COUNT(*) AS n FROM facts GROUP BY ALL)) WHERE rn = 1),
 popular AS (
-  SELECT * FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY companyfn, category_name ORDER BY buyers DESC, product_code) AS popularity
-    FROM (SELECT companyfn, category_name, product_code, COUNT(DISTINCT customer_id) AS buyers
-      FROM facts GROUP BY ALL)) WHERE popularity <= 20),
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY companyfn, category_name ORDER BY buyers DESC, product_code) AS popularity
+  FROM (SELECT companyfn, category_name, product_code, COUNT(DISTINCT customer_id) AS buyers FROM facts GROUP BY ALL)),
 candidates AS (
-  SELECT l.companyfn, l.customer_id, p.product_code, l.category_name, p.buyers, p.popularity
-  FROM liked l JOIN popular p ON l.companyfn = p.companyfn AND l.category_name = p.category_name
-  WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.companyfn = l.companyfn AND f.customer_id = l.customer_id
-    AND f.product_code = p.product_code))"""
+  SELECT companyfn, customer_id, product_code, category_name, buyers, popularity FROM (
+    SELECT l.companyfn, l.customer_id, p.product_code, l.category_name, p.buyers, p.popularity,
+      ROW_NUMBER() OVER (PARTITION BY l.companyfn, l.customer_id ORDER BY p.popularity) AS place
+    FROM liked l JOIN popular p ON l.companyfn = p.companyfn AND l.category_name = p.category_name
+    WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.companyfn = l.companyfn AND f.customer_id = l.customer_id
+      AND f.product_code = p.product_code)) WHERE place <= {per_category})"""
+
+
+CANDIDATES_SQL = candidates_sql(20)
 
 
 @query("recommendation_candidates", with_tables(HDR, LIN, JOINED, FACTS_SQL, CANDIDATES_SQL) + "SELECT * FROM candidates")
@@ -264,9 +272,40 @@ def _(spark, sf_dir):
     return plain(recommend.recommendations(scores))
 
 
+@query("first_unbought_candidates", with_tables(HDR, LIN, JOINED, FACTS_SQL, candidates_sql(2)) + "SELECT * FROM candidates")
+def _(spark, sf_dir):
+    """Two for each customer, who may have bought the first two of the category."""
+    return plain(recommend.candidates(facts(spark, sf_dir, *CANDIDATE_FACTS), 2))
+
+
 @query("product_recommendations")
 def _(spark, sf_dir):
-    """The best scored products that a customer has not bought yet."""
+    """The best scored of all products that a customer has not bought yet."""
     bought = facts(spark, sf_dir, *CANDIDATE_FACTS, "quantity")
     fitted = recommend.train_recommender(bought)
-    return recommend.recommendations(recommend.purchase_scores(fitted, recommend.candidates(bought)))
+    return recommend.best_unbought(*recommend.learned_factors(fitted), bought)
+
+
+@query("best_unbought_products", with_tables(HDR, LIN, JOINED, FACTS_SQL) + """,
+mine AS (SELECT companyfn, customer_id, COUNT(DISTINCT product_code)::DOUBLE AS a, MAX(quantity)::DOUBLE AS b,
+    MIN(quantity)::DOUBLE - 20 AS c FROM facts GROUP BY ALL),
+theirs AS (SELECT companyfn, product_code, COUNT(DISTINCT customer_id)::DOUBLE AS x, MAX(quantity)::DOUBLE - 40 AS y,
+    MIN(quantity)::DOUBLE AS z FROM facts GROUP BY ALL),
+bought AS (SELECT DISTINCT companyfn, customer_id, product_code FROM facts)
+SELECT companyfn, customer_id, product_code, purchase_score, rank FROM (
+  SELECT m.companyfn, m.customer_id, t.product_code, a * x + b * y + c * z AS purchase_score, ROW_NUMBER() OVER (
+    PARTITION BY m.companyfn, m.customer_id ORDER BY a * x + b * y + c * z DESC, t.product_code) AS rank
+  FROM mine m JOIN theirs t ON m.companyfn = t.companyfn
+  WHERE NOT EXISTS (SELECT 1 FROM bought k WHERE k.companyfn = m.companyfn AND k.customer_id = m.customer_id
+    AND k.product_code = t.product_code)) WHERE rank <= 5""")
+def _(spark, sf_dir):
+    """Exact best products by given factors: counts and quantities, so that scores are whole numbers."""
+    known = facts(spark, sf_dir, *CANDIDATE_FACTS, "quantity").select(
+        "companyfn", "customer_id", "product_code", F.col("quantity").cast("double").alias("quantity"))
+    pairs = cut(known.groupBy("companyfn", "customer_id", "product_code").agg(
+        F.max("quantity").alias("most"), F.min("quantity").alias("least")))
+    customers = pairs.groupBy("companyfn", "customer_id").agg(F.array(
+        F.count(F.lit(1)).cast("double"), F.max("most"), F.min("least") - 20).alias("factors"))
+    products = pairs.groupBy("companyfn", "product_code").agg(F.array(
+        F.count(F.lit(1)).cast("double"), F.max("most") - 40, F.min("least")).alias("factors"))
+    return recommend.best_unbought(customers, products, pairs)
