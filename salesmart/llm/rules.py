@@ -131,9 +131,9 @@ def profile(docs: DataFrame, rules: dict[str, Column] | None = None, rows: int =
     """
     rules = rules or default_rules()
     total = docs.select(F.count(F.lit(1))).first()[0]
-    sample = docs.select("text").sample(min(1.0, rows / max(total, 1)), seed)
-    # bounded by ``rows``, so one task holds it and its wall time is its cost
-    sample = cut(measured(sample).coalesce(1)).where(~base_failed())
+    # drawn by all tasks; what is written is bounded by ``rows``, so one task holds it and wall time is its cost
+    sample = cut(docs.select("text").sample(min(1.0, rows / max(total, 1)), seed))
+    sample = cut(measured(sample.coalesce(1))).where(~base_failed())
 
     def timed(rule: Column) -> tuple[float, int, int]:
         start = time.perf_counter()
