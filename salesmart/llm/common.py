@@ -61,6 +61,11 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def one_row_an_id(rows: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, text) rows with one text for each id: that of the least hash, combined before the shuffle."""
+    return rows.groupBy("doc_id", *columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def arrow_text(column) -> pa.Array:
     """A text column without nulls (null becomes empty)."""
     if isinstance(column, pa.ChunkedArray):

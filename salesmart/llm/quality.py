@@ -7,7 +7,8 @@ word of a known kind is recognised), and by how often a word follows itself,
 counts on a logarithmic scale.
 
 Null and empty texts have no features and get the score of the intercept;
-without labels every score is 0.5.  Repeated rows are scored alike.
+without labels every score is 0.5.  Repeated rows are scored alike.  Kept columns
+must not be called ``score``, ``predicted`` or ``__text``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import SPACE, arrow_text, flat, mix, ship, slices, span_hashes, word_spans
+from salesmart.llm.common import SPACE, arrow_text, flat, mix, one_row_an_id, ship, slices, span_hashes, word_spans
 
 DIMS = 1 << 20
 MAX_LABELLED = 16000   # bound of the training sample, taken by the order of a hash of the id
@@ -76,10 +77,10 @@ def _feature_rows(batches):
         bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
         spans = list(zip(bounds[:-1], bounds[1:]))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("label"),
+            [part.column("place"), part.column("label"),
              pa.array([feature[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
              pa.array([value[a:b].astype(np.float32).tobytes() for a, b in spans], pa.binary())],
-            names=["doc_id", "label", "features", "vals"])
+            names=["place", "label", "features", "vals"])
 
 
 def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> QualityModel:
@@ -105,19 +106,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """Fit on documents (doc_id, text) with labels (doc_id, quality).
 
     Runs at once: one job that returns the hashed n-grams of at most
-    ``max_labelled`` labelled texts.
+    ``max_labelled`` labelled texts, one for an id; of several rows with one id,
+    that whose text's hash is least.  Ids may be of any type.  The examples are
+    taken in the order of a hash of the id.
     """
     ship(docs.sparkSession)
     chosen = (labels.select("doc_id", F.col("quality").cast("int").alias("label"))
               .where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
               .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")   # at most max_labelled ids
-            .select("doc_id", "text", "label")
-            .mapInArrow(_feature_rows, "doc_id long, label int, features binary, vals binary").collect())
-    rows.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) % (1 << 64), bytes(r.features)))
-    return fit([(np.frombuffer(r.features, np.uint32), np.frombuffer(r.vals, np.float32), r.label)
-                for r in rows[:max_labelled]])
+    rows = one_row_an_id(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label")
+    rows = (rows.select(F.xxhash64("doc_id").alias("place"), "text", "label")
+            .mapInArrow(_feature_rows, "place long, label int, features binary, vals binary").collect())
+    rows.sort(key=lambda r: (r.place, bytes(r.features)))
+    return fit([(np.frombuffer(r.features, np.uint32), np.frombuffer(r.vals, np.float32), r.label) for r in rows])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ goes the other way.  g is linear in the presence of hashed words.
 
 Null and empty texts have no words and get the score of the intercept.  With
 no toxic example at all every score is the prior.  Repeated rows are scored
-alike, extra columns are ignored by the fit and kept by ``score_toxicity``.
+alike.  Extra columns are ignored by the fit and kept by ``score_toxicity``; those
+kept must not be called ``score``, ``predicted`` or ``__text``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import NO_LETTER, arrow_text, ship, slices, words
+from salesmart.llm.common import NO_LETTER, arrow_text, one_row_an_id, ship, slices, words
 
 DIMS = 1 << 20
 #: bounds of the training sample (rows taken by the order of a hash of the id)
@@ -116,16 +117,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = Non
     """Fit on documents (doc_id, text) with labels (doc_id, toxic).
 
     Runs at once: one small job for the prior and one that returns the hashed
-    words of at most ``max_positive + max_unlabelled`` texts.  ``prior`` is
-    taken from the label table when not given.
+    words of at most ``max_positive + max_unlabelled`` texts, one for an id; of
+    several rows with one id, that whose text's hash is least.  Ids may be of any
+    type.  ``prior``, above 0 and below 1, is taken from the label table when not
+    given: the share of toxic ones among the labels, which count beside one label
+    of 0.05, so that it is never 0 or 1: (k + 0.05) / (n + 1) for k of n.
     """
     ship(docs.sparkSession)
     known = (labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     if prior is None:
-        share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        prior = 0.05 if share is None else share
-    prior = float(min(max(prior, 0.001), 0.9))
+        toxic, total = known.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first()
+        prior = (toxic + 0.05) / (total + 1)
+    if not 0 < prior < 1:
+        raise ValueError(f"a prior lies between 0 and 1: {prior}")
     order = F.xxhash64("doc_id")
     toxic = known.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(max_positive)
     # the ids first, so that texts of rows not taken are never moved
@@ -133,11 +138,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = Non
               .join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
               .orderBy(order, "doc_id").limit(max_unlabelled))
     chosen = toxic.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")   # at most 12,000 ids
-            .select("text", "positive").mapInArrow(_feature_rows, "positive boolean, features binary").collect())
-    # several rows may share an id; the bound on rows holds all the same
-    both = {side: sorted(bytes(r.features) for r in rows if r.positive is side)[:bound]
-            for side, bound in ((True, max_positive), (False, max_unlabelled))}
+    rows = one_row_an_id(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "positive")  # 12,000 ids
+    rows = rows.select("text", "positive").mapInArrow(_feature_rows, "positive boolean, features binary").collect()
+    both = {side: sorted(bytes(r.features) for r in rows if r.positive is side) for side in (True, False)}
     arrays = {side: [np.frombuffer(x, np.uint32) for x in found] for side, found in both.items()}
     return fit(arrays[True], arrays[False], prior)
 
