@@ -41,15 +41,16 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: the tool that the conversations are read as calls of
-TOOLS = {"answer": {"required": ["query", "turn"],
-                    "properties": {"query": "string", "size": "integer", "turn": "integer"}}}
+TOOLS = {"answer": {"type": "object", "required": ["query", "turn"], "additionalProperties": False, "properties": {
+    "query": {"type": "string", "minLength": 1}, "size": {"type": "integer", "minimum": 0}, "turn": "integer"}}}
 
 
 @query("op3_tool_calls")
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as calls and results: what a user says is a call, what the assistant says next its result.
 
-    A call refers to one at about half its turn, so the order is a tree in every conversation.
+    A call refers to one at about half its turn, so the order is a tree in every conversation.  Turns of
+    other roles are plain messages, and repeated identifiers rows of their own.
     """
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     earlier = F.expr("turn div 4 * 2 + turn % 2")
@@ -62,7 +63,11 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select(
         "conv_id", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"),
         F.col("text").alias("content"))
-    return toolcalls.link_tool_calls(calls, results, TOOLS)
+    others = turns.where("role IS NULL OR role NOT IN ('user', 'assistant')").select(
+        "conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("content"))
+    linked = toolcalls.link_tool_calls(calls, results, TOOLS)
+    further, plain = toolcalls.further_messages(calls, results, TOOLS), toolcalls.plain_messages(others)
+    return linked.unionByName(further).unionByName(plain)
 
 
 @query("op4_ngram_jaccard")
