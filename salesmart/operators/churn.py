@@ -48,7 +48,11 @@ def train_churn(customers: DataFrame, algorithm: str = "random_forest", tune: bo
 
 def predict_churn(model: PipelineModel, customers: DataFrame) -> DataFrame:
     """Customers with a predicted class and a Low/High risk."""
-    scored = models.predict(model, customers, "churn_prediction")
+    return with_risk(models.predict(model, customers, "churn_prediction"))
+
+
+def with_risk(scored: DataFrame) -> DataFrame:
+    """The Low/High risk that a predicted class stands for."""
     return scored.withColumn("churn_risk", F.when(F.col("churn_prediction") > 0.5, "High").otherwise("Low"))
 
 

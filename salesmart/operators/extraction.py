@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.cleaning import as_double_sum, exact_mean
 from salesmart.functions.dates import calendar, elapsed_days
+from salesmart.functions.distinct import distinct_count
 from salesmart.functions.scoring import churned
 from salesmart.plans.lookups import attach
 from salesmart.schemas import HEADERS, LINES
+from salesmart.session import cut
 
 # fixed values
 ORDER_TYPES = ["sal_soe", "sal_soc", "sal_inv"]
@@ -144,48 +146,71 @@ CUSTOMER_FACTS = {
     "business_unit": "main.deptunit_code",
     "salesperson": "main.staff_code",
 }
+# fixed values: what product days are grouped by, and what is summed or counted in them
+PRODUCT_DAYS = {
+    "companyfn": "main.companyfn",
+    "product_code": "data.stkcode_code",
+    "product_name": "data.stkcode_desc",
+    "category_code": "data.stkcate_code",
+    "category_name": "data.stkcate_desc",
+    "brand_code": "data.brand_code",
+    "brand_desc": "data.brand_desc",
+    "vendor_code": "data.stkvendor_code",
+    "vendor_name": "data.stkvendor_desc",
+    "transaction_date": "main.date_trans",
+}
+PRODUCT_MEASURES = ["data.qnty_total", "data.amount_local", "data.price_unitrate_local", "main.party_unique",
+                    "main.uniquenum_pri"]
+
+
+def order_lines(headers: DataFrame, lines: DataFrame, companyfn: str | None = None, date_from: str | None = None,
+                date_to: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Valid lines of valid orders with their headers, as columns ``main_*`` and ``data_*``.
+
+    What customer facts and product days have in common: a job that needs both
+    writes it once and passes it on as ``joined``.
+    """
+    joined = _header_lines(headers, lines, companyfn, date_from, date_to, ORDER_TYPES)
+    wanted = dict.fromkeys(columns or [*CUSTOMER_FACTS.values(), *PRODUCT_DAYS.values(), *PRODUCT_MEASURES])
+    return joined.select(*[F.col(c).alias(c.replace(".", "_")) for c in wanted])
 
 
-def customer_facts(headers: DataFrame, lines: DataFrame, companyfn: str | None = None,
+def customer_facts(headers: DataFrame | None, lines: DataFrame | None, companyfn: str | None = None,
                    date_from: str | None = None, date_to: str | None = None,
-                   columns: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
+                   columns: Sequence[str] | None = None, ordered: bool = False,
+                   joined: DataFrame | None = None) -> DataFrame:
     """One row per order line of a customer, with product and calendar parts.
 
     With ``columns`` only those are built, so the sources need not hold the rest.
     """
-    joined = _header_lines(headers, lines, companyfn, date_from, date_to, ORDER_TYPES)
     names = [n for n in CUSTOMER_FACTS if columns is None or n in columns]
-    df = joined.select(*[F.col(CUSTOMER_FACTS[n]).alias(n) for n in names])
+    if joined is None:
+        joined = order_lines(headers, lines, companyfn, date_from, date_to, [CUSTOMER_FACTS[n] for n in names])
+    df = joined.select(*[F.col(CUSTOMER_FACTS[n].replace(".", "_")).alias(n) for n in names])
     if "transaction_date" in names:
         df = df.withColumns(calendar("transaction_date", "year", "month", "quarter", "day_of_week"))
     return _sorted(df, ordered, F.desc("transaction_date"))
 
 
 def customer_retention(headers: DataFrame, companyfn: str | None = None, churn_days: int = 365,
-                       scope: str = "tenant", ordered: bool = False) -> DataFrame:
+                       scope: str = "tenant", ordered: bool = False, approx: bool = False) -> DataFrame:
     """Purchase history per customer from valid invoices, with a churn flag.
 
-    Days since the last purchase count back from the latest purchase of the
+    With ``approx`` distinct orders and months are estimated by sketches.  Days since the last purchase count back from the latest purchase of the
     tenant, or of all tenants with ``scope='all'``.
     """
     df = headers.where((F.col("tag_void_yn") == "n") & (F.col("tag_table_usage") == "sal_inv"))
     if companyfn:
         df = df.where(F.col("companyfn") == companyfn)
     group = ["companyfn", "customer_id", "customer_code", "customer_name"]
-    stats = df.select(
+    named = df.select(
         "companyfn", F.col("party_unique").alias("customer_id"),
         F.col("party_code").alias("customer_code"), F.col("party_desc").alias("customer_name"),
-        "date_trans", "uniquenum_pri", "amount_local",
-    ).groupBy(*group).agg(
-        F.min("date_trans").alias("first_purchase_date"),
-        F.max("date_trans").alias("last_purchase_date"),
-        F.countDistinct("uniquenum_pri").alias("total_purchases"),
-        as_double_sum("amount_local").alias("total_spent"),
-        exact_mean("amount_local").alias("avg_purchase_value"),
-        F.countDistinct(F.year("date_trans") * 100 + F.month("date_trans")).alias("active_months"),
-    )
+        "date_trans", "uniquenum_pri", "amount_local", (F.year("date_trans") * 100 + F.month("date_trans")).alias("_month"))
+    stats = cut(_purchases_estimated(named, group) if approx else _purchases(named, group))
     keys = [] if scope == "all" else ["companyfn"]
-    latest = df.groupBy(*keys).agg(F.max("date_trans").alias("latest_purchase"))
+    # from the written aggregate: the headers are read once
+    latest = stats.groupBy(*keys).agg(F.max("last_purchase_date").alias("latest_purchase"))
     days = elapsed_days("latest_purchase", "last_purchase_date")
     result = attach(stats, latest, keys).select(
         *group, "first_purchase_date", "last_purchase_date",
@@ -198,39 +223,82 @@ def customer_retention(headers: DataFrame, companyfn: str | None = None, churn_d
     return _sorted(result, ordered, F.desc("total_spent"), "customer_id")
 
 
-def product_daily(headers: DataFrame, lines: DataFrame, companyfn: str | None = None,
+def _purchases(named: DataFrame, group: list[str]) -> DataFrame:
+    """Figures per customer, first collapsed to orders.
+
+    Orders are then rows and need no set; the months are few and need a small one.
+    """
+    orders = named.groupBy(*group, "uniquenum_pri").agg(
+        F.min("date_trans").alias("_first"), F.max("date_trans").alias("_last"),
+        F.sum("amount_local").alias("_amount"), F.count("amount_local").alias("_priced"),
+        F.collect_set("_month").alias("_months"))
+    return orders.groupBy(*group).agg(
+        F.min("_first").alias("first_purchase_date"), F.max("_last").alias("last_purchase_date"),
+        F.count("uniquenum_pri").alias("total_purchases"), as_double_sum("_amount").alias("total_spent"),
+        F.try_divide(F.sum("_amount").cast("double"), F.sum("_priced")).alias("avg_purchase_value"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_months")))).cast("long").alias("active_months"))
+
+
+def _purchases_estimated(named: DataFrame, group: list[str]) -> DataFrame:
+    return named.groupBy(*group).agg(
+        F.min("date_trans").alias("first_purchase_date"), F.max("date_trans").alias("last_purchase_date"),
+        distinct_count("uniquenum_pri", True).alias("total_purchases"),
+        as_double_sum("amount_local").alias("total_spent"), exact_mean("amount_local").alias("avg_purchase_value"),
+        distinct_count("_month", True).alias("active_months"))
+
+
+def product_daily(headers: DataFrame | None, lines: DataFrame | None, companyfn: str | None = None,
                   date_from: str | None = None, date_to: str | None = None,
-                  ordered: bool = False) -> DataFrame:
-    """Sales per product, vendor and day."""
-    group = ["companyfn", "product_code", "product_name", "category_code", "category_name",
-             "brand_code", "brand_desc", "vendor_code", "vendor_name", "transaction_date"]
-    facts = _header_lines(headers, lines, companyfn, date_from, date_to, ORDER_TYPES).select(
-        F.col("main.companyfn"),
-        F.col("data.stkcode_code").alias("product_code"),
-        F.col("data.stkcode_desc").alias("product_name"),
-        F.col("data.stkcate_code").alias("category_code"),
-        F.col("data.stkcate_desc").alias("category_name"),
-        F.col("data.brand_code"),
-        F.col("data.brand_desc"),
-        F.col("data.stkvendor_code").alias("vendor_code"),
-        F.col("data.stkvendor_desc").alias("vendor_name"),
-        F.col("main.date_trans").alias("transaction_date"),
-        F.col("data.qnty_total"), F.col("data.amount_local"), F.col("data.price_unitrate_local"),
-        F.col("main.party_unique"), F.col("main.uniquenum_pri"),
-    )
-    df = facts.groupBy(*group).agg(
-        as_double_sum("qnty_total").alias("quantity_sold"),
-        as_double_sum("amount_local").alias("revenue"),
-        exact_mean("price_unitrate_local").alias("avg_price"),
-        F.countDistinct("party_unique").alias("unique_customers"),
-        F.countDistinct("uniquenum_pri").alias("num_transactions"),
-    ).withColumns(calendar("transaction_date", "year", "month", "quarter"))
+                  ordered: bool = False, approx: bool = False, joined: DataFrame | None = None) -> DataFrame:
+    """Sales per product, vendor and day; with ``approx`` customers and orders are estimated by sketches."""
+    group = list(PRODUCT_DAYS)
+    if joined is None:
+        joined = order_lines(headers, lines, companyfn, date_from, date_to,
+                             [*PRODUCT_DAYS.values(), *PRODUCT_MEASURES])
+    facts = joined.select(*[F.col(c.replace(".", "_")).alias(n) for n, c in PRODUCT_DAYS.items()],
+                          *[F.col(c.replace(".", "_")).alias(c.split(".")[1]) for c in PRODUCT_MEASURES])
+    figures = _sales_estimated(facts, group) if approx else _sales(facts, group)
+    df = figures.withColumns(calendar("transaction_date", "year", "month", "quarter"))
     return _sorted(df, ordered, F.desc("revenue"), "product_code")
 
 
+def _sales(facts: DataFrame, group: list[str]) -> DataFrame:
+    """Figures per product day, first collapsed to orders, in one exchange.
+
+    All groupings contain the product and the day, so rows dealt by these stay
+    where they are; a product that owns much of the lines is spread over its days.
+    An order normally has one customer: the first of them carries its figures.
+    """
+    dealt = facts.repartition("companyfn", "product_code", "transaction_date")
+    orders = dealt.groupBy(*group, "uniquenum_pri").agg(
+        F.sum("qnty_total").alias("_quantity"), F.sum("amount_local").alias("_amount"),
+        F.sum("price_unitrate_local").alias("_price"), F.count("price_unitrate_local").alias("_priced"),
+        F.collect_set("party_unique").alias("_parties"))
+    rows = orders.select(*group, "uniquenum_pri", "_quantity", "_amount", "_price", "_priced",
+                         F.posexplode_outer("_parties").alias("_nth", "_party"))
+    once = F.coalesce(F.col("_nth"), F.lit(0)) == 0
+
+    def total(column: str) -> Column:
+        return F.sum(F.when(once, F.col(column)))
+    return rows.groupBy(*group).agg(
+        F.coalesce(total("_quantity").cast("double"), F.lit(0.0)).alias("quantity_sold"),
+        F.coalesce(total("_amount").cast("double"), F.lit(0.0)).alias("revenue"),
+        F.try_divide(total("_price").cast("double"), total("_priced")).alias("avg_price"),
+        F.countDistinct("_party").alias("unique_customers"),
+        F.count(F.when(once, F.col("uniquenum_pri"))).alias("num_transactions"))
+
+
+def _sales_estimated(facts: DataFrame, group: list[str]) -> DataFrame:
+    return facts.groupBy(*group).agg(
+        as_double_sum("qnty_total").alias("quantity_sold"), as_double_sum("amount_local").alias("revenue"),
+        exact_mean("price_unitrate_local").alias("avg_price"),
+        distinct_count("party_unique", True).alias("unique_customers"),
+        distinct_count("uniquenum_pri", True).alias("num_transactions"))
+
+
 def sales_trend(headers: DataFrame, companyfn: str | None = None, date_from: str | None = None,
-                date_to: str | None = None, ordered: bool = False) -> DataFrame:
-    """Sales per day, business unit, salesperson and transaction type."""
+                date_to: str | None = None, ordered: bool = False, approx: bool = False) -> DataFrame:
+    """Sales per day, business unit, salesperson and transaction type; ``approx`` as in ``product_daily``."""
     df = headers.where(
         (F.col("tag_void_yn") == "n") & F.col("tag_table_usage").isin(TREND_TYPES)
         & _between(F.col("date_trans"), date_from, date_to))
@@ -246,7 +314,7 @@ def sales_trend(headers: DataFrame, companyfn: str | None = None, date_from: str
         F.count(F.lit(1)).alias("total_transactions"),
         as_double_sum("amount_local").alias("total_revenue"),
         exact_mean("amount_local").alias("avg_transaction_value"),
-        F.countDistinct("party_unique").alias("unique_customers"),
+        distinct_count("party_unique", approx).alias("unique_customers"),
     ).withColumns(calendar("transaction_date", "year", "month", "quarter", "day_of_week",
                            "day_of_month", "week_of_year"))
     return _sorted(df, ordered, F.desc("transaction_date"))

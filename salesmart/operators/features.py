@@ -11,10 +11,12 @@ from pyspark.sql.window import Window as W
 
 from salesmart.functions.cleaning import as_double_sum, exact_mean, over_nonzero, over_or_null
 from salesmart.functions.dates import calendar, cyclical, elapsed_days
+from salesmart.functions.distinct import distinct_count
 from salesmart.functions.scoring import risk_of
 from salesmart.operators.cleaning import keys_of, rfm_scores
 from salesmart.plans.lookups import attach
 from salesmart.plans.ranking import over_rows
+from salesmart.session import cut
 
 EXACT = "decimal(28,4)"
 
@@ -26,15 +28,15 @@ def _exact(column: str) -> Column:
 def rfm_features(facts: DataFrame, customer: str = "customer_id", scope: str = "tenant",
                  exact: bool = True) -> DataFrame:
     """Recency, frequency, monetary value and their scores per customer."""
-    known = facts.where(F.col(customer).isNotNull())
-    per_customer = known.groupBy("companyfn", customer).agg(
+    # written once; sales without a customer count for the latest day only
+    per_customer = cut(facts.groupBy("companyfn", customer).agg(
         F.max("transaction_date").alias("_last"),
         F.countDistinct("uniquenum_pri").alias("frequency"),
         F.coalesce(F.sum(_exact("line_amount")).cast("double"), F.lit(0.0)).alias("monetary"),
-    )
+    ))
     keys = keys_of(scope)
-    latest = facts.groupBy(*keys).agg(F.max("transaction_date").alias("_now"))
-    rfm = attach(per_customer, latest, keys).select(
+    latest = per_customer.groupBy(*keys).agg(F.max("_last").alias("_now"))
+    rfm = attach(per_customer.where(F.col(customer).isNotNull()), latest, keys).select(
         "companyfn", customer, elapsed_days("_now", "_last").alias("recency"), "frequency", "monetary")
     return rfm_scores(rfm, "recency", "frequency", "monetary",
                       [F.col("companyfn"), F.col(customer)], scope, exact)
@@ -52,7 +54,9 @@ def temporal_features(df: DataFrame, date: str = "transaction_date") -> DataFram
 
 def product_features(products: DataFrame, scope: str = "tenant") -> DataFrame:
     """Quantity, revenue, price and reach per product of a tenant."""
-    per_product = products.where(F.col("product_code").isNotNull()).groupBy("companyfn", "product_code").agg(
+    # written once; rows without a product count for the span of days only
+    per_product = cut(products.groupBy("companyfn", "product_code").agg(
+        F.min("transaction_date").alias("_from"), F.max("transaction_date").alias("_to"),
         F.coalesce(F.sum(_exact("quantity_sold")).cast("double"), F.lit(0.0)).alias("total_quantity_sold"),
         exact_mean(_exact("quantity_sold")).alias("avg_quantity_per_transaction"),
         F.stddev_samp("quantity_sold").alias("std_quantity"),
@@ -62,34 +66,38 @@ def product_features(products: DataFrame, scope: str = "tenant") -> DataFrame:
         exact_mean(F.col("avg_price").cast("decimal(28,10)")).alias("avg_selling_price"),
         F.sum("unique_customers").alias("total_unique_customers"),
         F.sum("num_transactions").alias("total_transactions"),
-    )
+    ))
     keys = keys_of(scope)
-    span = products.groupBy(*keys).agg(
-        elapsed_days(F.max("transaction_date"), F.min("transaction_date")).alias("_days"))
-    return attach(per_product, span, keys).withColumns({
+    span = per_product.groupBy(*keys).agg(elapsed_days(F.max("_to"), F.min("_from")).alias("_days"))
+    return attach(per_product.where(F.col("product_code").isNotNull()), span, keys).withColumns({
         "revenue_per_day": F.col("total_revenue") / F.greatest(F.col("_days"), F.lit(1)),
         "customer_reach": F.try_divide("total_unique_customers", "total_transactions"),
-    }).drop("_days")
+    }).drop("_days", "_from", "_to")
 
 
-def customer_features(facts: DataFrame, scope: str = "tenant", include_lowest: bool = False) -> DataFrame:
-    """Spending, variety, lifetime and churn risk per customer of a tenant."""
-    per_customer = facts.where(F.col("customer_id").isNotNull()).groupBy("companyfn", "customer_id").agg(
+def customer_features(facts: DataFrame, scope: str = "tenant", include_lowest: bool = False,
+                      approx: bool = False) -> DataFrame:
+    """Spending, variety, lifetime and churn risk per customer of a tenant.
+
+    With ``approx`` the four distinct counts come from sketches, in one pass.
+    """
+    # written once; sales without a customer count for the latest day only
+    per_customer = cut(facts.groupBy("companyfn", "customer_id").agg(
         F.min("transaction_date").alias("first_purchase_date"),
         F.max("transaction_date").alias("last_purchase_date"),
-        F.countDistinct("transaction_date").alias("total_purchase_days"),
+        distinct_count("transaction_date", approx).alias("total_purchase_days"),
         as_double_sum("line_amount").alias("total_spent"),
         exact_mean("line_amount").alias("avg_order_value"),
         F.stddev_samp(F.col("line_amount").cast("double")).alias("std_order_value"),
         as_double_sum("quantity").alias("total_quantity"),
         exact_mean("quantity").alias("avg_quantity_per_order"),
-        F.countDistinct("product_code").alias("unique_products"),
-        F.countDistinct("category_code").alias("unique_categories"),
-        F.countDistinct("brand_code").alias("unique_brands"),
-    )
+        distinct_count("product_code", approx).alias("unique_products"),
+        distinct_count("category_code", approx).alias("unique_categories"),
+        distinct_count("brand_code", approx).alias("unique_brands"),
+    ))
     keys = keys_of(scope)
-    latest = facts.groupBy(*keys).agg(F.max("transaction_date").alias("_now"))
-    df = attach(per_customer, latest, keys).withColumns({
+    latest = per_customer.groupBy(*keys).agg(F.max("last_purchase_date").alias("_now"))
+    df = attach(per_customer.where(F.col("customer_id").isNotNull()), latest, keys).withColumns({
         "customer_lifetime_days": elapsed_days("last_purchase_date", "first_purchase_date"),
         "days_since_last_purchase": elapsed_days("_now", "last_purchase_date"),
     })

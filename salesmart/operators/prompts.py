@@ -44,17 +44,16 @@ DATA_WORDS = [
     "november", "december", "triển vọng", "xu hướng", "phổ biến", "nổi bật", "tương lai",
     "sắp tới", "hot trend", "tiềm năng",
 ]
-MONTHS = [
-    "january", "february", "march", "april", "may", "june", "july", "august", "september",
-    "october", "november", "december",
-]
-MONTH_NAME = "(" + "|".join(m if len(m) == 3 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 NUMERIC_PERIOD = r"(\d{1,2})[./-](\d{4})"
-NAMED_PERIOD = MONTH_NAME + r"\s*(\d{4})"
-MONTH_THEN_YEAR = "(?s)(" + "|".join(m[:3] for m in MONTHS) + r").*\d{4}"
+NAMED_PERIOD = (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?"
+    r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s*(\d{4})")
+MONTH_THEN_YEAR = r"(?s)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d{4}"
 LAST_YEAR = r"(?s).*\b(20\d{2})\b"
-DATED = (r"\d{1,2}[/.-]\d{4}|" + NAMED_PERIOD.replace(r"(\d{4})", r"\d{4}")
-         + r"|year\s*\d{4}|\d{4}\s+year|revenue\s+\d{4}")
+DATED = (
+    r"\d{1,2}[/.-]\d{4}|(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
+    r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s*\d{4}|year\s*\d{4}|\d{4}\s+year|revenue\s+\d{4}")
 FOUR_DIGIT_WORD = r"(^|\s)\d{4}(\s|$)"
 
 
@@ -111,7 +110,7 @@ def extract_periods(prompts: DataFrame, text: str = "prompt") -> DataFrame:
     low = F.lower(F.col(text))
     numeric, named = low.rlike(NUMERIC_PERIOD), low.rlike(NAMED_PERIOD)
     year_only = ~numeric & ~low.rlike(MONTH_THEN_YEAR) & low.rlike(LAST_YEAR)
-    number = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m[:3]), F.lit(i))])
+    number = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
     month_name = F.substring(F.regexp_extract(low, NAMED_PERIOD, 1), 1, 3)
 
     def part(pattern: str, group: int) -> Column:

@@ -13,26 +13,27 @@ from pyspark.sql.window import Window as W
 
 from salesmart.functions.cleaning import as_double_sum, exact_mean
 from salesmart.functions.dates import elapsed_days
+from salesmart.functions.distinct import distinct_count
 from salesmart.functions.scoring import churned
 
 
-def customer_summary(lines: DataFrame) -> DataFrame:
-    """Revenue, order value, variety and first/last date per customer."""
+def customer_summary(lines: DataFrame, approx: bool = False) -> DataFrame:
+    """Revenue, order value, variety (by a sketch if ``approx``) and first/last date per customer."""
     return (
         lines.where(F.col("party_code").isNotNull())
         .groupBy("companyfn", F.col("party_code").alias("customer_id")).agg(
             as_double_sum("amount_local").alias("total_revenue"),
             exact_mean("amount_local").alias("avg_order_value"),
             F.count("amount_local").alias("total_purchases"),
-            F.countDistinct("stkcode_code").alias("unique_products"),
+            distinct_count("stkcode_code", approx).alias("unique_products"),
             F.min("date_trans").alias("first_purchase_date"),
             F.max("date_trans").alias("last_purchase_date"),
         ).withColumn("customer_name", F.concat(F.lit("Customer_"), "customer_id"))
     )
 
 
-def product_summary(lines: DataFrame) -> DataFrame:
-    """Revenue, quantity, reach and first/last sale per product."""
+def product_summary(lines: DataFrame, approx: bool = False) -> DataFrame:
+    """Revenue, quantity, reach (by a sketch if ``approx``) and first/last sale per product."""
     return (
         lines.where(F.col("stkcode_code").isNotNull())
         .groupBy("companyfn", F.col("stkcode_code").alias("product_code")).agg(
@@ -40,7 +41,7 @@ def product_summary(lines: DataFrame) -> DataFrame:
             exact_mean("amount_local").alias("avg_price"),
             F.count("amount_local").alias("total_transactions"),
             as_double_sum("qnty_total").alias("total_quantity"),
-            F.countDistinct("party_code").alias("unique_customers"),
+            distinct_count("party_code", approx).alias("unique_customers"),
             F.min("date_trans").alias("first_sale_date"),
             F.max("date_trans").alias("last_sale_date"),
         ).withColumn("product_name", F.concat(F.lit("Product_"), "product_code"))

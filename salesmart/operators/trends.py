@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from salesmart.functions.cleaning import exact_mean
 from salesmart.operators.cleaning import keys_of
 from salesmart.plans.lookups import attach
+from salesmart.session import cut
 
 # fixed values: score weights, recent days, customers that count as full reach
 WEIGHTS = {"growth": 0.35, "momentum": 0.25, "consistency": 0.20, "volume": 0.15, "customers": 0.05}
@@ -31,19 +32,28 @@ def recent_lines(lines: DataFrame, as_of: str, days_history: int = 90,
 def product_statistics(recent: DataFrame, as_of: str, days_history: int = 90) -> DataFrame:
     """Sales figures and trend factors per product over the recent lines.
 
-    Lines collapse to product days before anything is ordered, so the window
-    below sees at most ``days_history + 1`` rows of a product.
+    Lines collapse to product days of a customer, which are written: the lines are
+    read once, and the window below sees at most ``days_history + 1`` rows of a
+    product.
     """
     day = F.col("date_trans").cast("date")
     quantity = F.coalesce(F.col("qnty_total"), F.lit(0))
     price = F.col("price_unitlist_local")
-    daily = recent.groupBy(*PRODUCT, day.alias("day")).agg(
+    # names as on the earliest sale, its highest line number first
+    first_line = F.struct(
+        F.col("date_trans"), -F.col("row_item_num"), F.col("uniquenum_uniq"),
+        F.col("stkcode_code"), F.col("stkcode_desc"), F.col("brand_desc"), F.col("stkcate_desc"))
+    collapsed = cut(recent.groupBy(*PRODUCT, day.alias("day"), "party_unique").agg(
         F.sum(quantity).alias("qty"),
         F.sum(quantity * F.coalesce(price, F.lit(0))).alias("revenue"),
         F.count(F.lit(1)).alias("rows"),
         F.sum(price).alias("price_sum"), F.count(price).alias("price_count"),
         F.min("date_trans").alias("first_sale"), F.max("date_trans").alias("last_sale"),
-    )
+        F.min(first_line).alias("_line"),
+    ))
+    sums, least = ("qty", "revenue", "rows", "price_sum", "price_count"), ("first_sale", "_line")
+    daily = collapsed.groupBy(*PRODUCT, "day").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], F.max("last_sale").alias("last_sale"))
     product = W.partitionBy(*PRODUCT)
     placed = daily.select(
         "*", F.row_number().over(product.orderBy("day")).alias("rn"),
@@ -65,6 +75,7 @@ def product_statistics(recent: DataFrame, as_of: str, days_history: int = 90) ->
         quantity_where(first_half).alias("_first"), quantity_where(~first_half).alias("_second"),
         quantity_where(recent_day).alias("_recent"),
         exact_mean("qty").alias("_mean"), F.stddev_pop(F.col("qty").cast("double")).alias("_std"),
+        F.min("_line").alias("_line"),
     )
     older = F.col("total_quantity") - F.col("_recent")
     before_recent = max(days_history - RECENT_DAYS, 1)
@@ -77,15 +88,10 @@ def product_statistics(recent: DataFrame, as_of: str, days_history: int = 90) ->
         "consistency": F.when(F.col("sale_days") > 1, 1 / (1 + spread)).otherwise(F.lit(0.5)),
     }).drop("_first", "_second", "_recent", "_mean", "_std")
 
-    # names as on the earliest sale, its highest line number first
-    first_line = F.struct(
-        F.col("date_trans"), -F.col("row_item_num"), F.col("uniquenum_uniq"),
-        F.col("stkcode_code"), F.col("stkcode_desc"), F.col("brand_desc"), F.col("stkcate_desc"))
-    names = recent.groupBy(*PRODUCT).agg(
-        F.countDistinct("party_unique").alias("unique_customer_count"), F.min(first_line).alias("_line"))
-    names = names.select(*PRODUCT, "unique_customer_count", *[
+    figures = figures.select(*[c for c in figures.columns if c != "_line"], *[
         F.col(f"_line.{c}").alias(c) for c in ("stkcode_code", "stkcode_desc", "brand_desc", "stkcate_desc")])
-    return figures.join(names, PRODUCT)
+    buyers = collapsed.groupBy(*PRODUCT).agg(F.countDistinct("party_unique").alias("unique_customer_count"))
+    return figures.join(buyers, PRODUCT)
 
 
 def _share_of(value: str, top: str) -> Column:
@@ -97,9 +103,9 @@ def potential_scores(statistics: DataFrame, scope: str = "tenant") -> DataFrame:
     """Weighted score 0..100 per product with the share of every factor.
 
     Growth, momentum and revenue are taken relative to the best product of the
-    tenant; negative growth stays negative.
+    tenant; negative growth stays negative.  The statistics are written once.
     """
-    keys = keys_of(scope)
+    keys, statistics = keys_of(scope), cut(statistics)
     best = statistics.groupBy(*keys).agg(
         F.max("growth_rate").alias("_growth"), F.max("momentum").alias("_momentum"),
         F.max("total_revenue").alias("_revenue"))

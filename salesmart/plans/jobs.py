@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.operators import churn, cleaning, extraction, forecast, models, trends
+from salesmart.operators import churn, cleaning, extraction, forecast, models, reach, trends
 from salesmart.schemas import HEADERS, LINES
 from salesmart.session import build_session, cut, drop_cuts
 from salesmart.sources.readers import load_dataset
@@ -27,20 +28,29 @@ from salesmart.sources.sinks import save_dataset, save_report
 def dataset_builders(headers: DataFrame, lines: DataFrame, companyfn: str | None = None,
                      date_from: str | None = None, date_to: str | None = None,
                      scope: str = "tenant", exact: bool = True) -> dict[str, Callable[[], DataFrame]]:
-    """The datasets of the full job by name, built when called."""
+    """The datasets of the full job by name, built when called.
+
+    Headers and lines are joined once: the first dataset that needs the join
+    writes it, column-pruned, and the other reads that.
+    """
     window = {"companyfn": companyfn, "date_from": date_from, "date_to": date_to}
     options = {"scope": scope, "exact": exact}
+
+    @cache
+    def joined() -> DataFrame:
+        return cut(extraction.order_lines(headers, lines, **window))
     return {
         "sales_main": lambda: cleaning.clean_main(extraction.sales_main(headers, **window), **options),
         "sales_data": lambda: cleaning.clean_lines(extraction.sales_lines(lines, **window)),
         "customer_analysis": lambda: cleaning.customer_segments_by_value(
-            extraction.customer_facts(headers, lines, **window), **options),
+            extraction.customer_facts(None, None, joined=joined()), **options),
         "product_analysis": lambda: cleaning.product_segments_by_revenue(
-            extraction.product_daily(headers, lines, **window), **options),
+            extraction.product_daily(None, None, joined=joined()), **options),
         "sales_trend": lambda: cleaning.trend_calendar(extraction.sales_trend(headers, **window)),
         "customer_retention": lambda: cleaning.retention_segments(
             extraction.customer_retention(headers, companyfn, scope=scope), **options),
         "monthly_revenue": lambda: extraction.monthly_revenue(headers, **window),
+        "monthly_reach": lambda: reach.monthly_reach(extraction.sales_main(headers, **window)),
         "revenue_report_by_date": lambda: cleaning.revenue_levels(
             extraction.monthly_revenue(headers, **window), **options),
     }
@@ -56,7 +66,8 @@ PARTITIONS = {
     "sales_trend": ["companyfn", "year", "month"],
     "customer_retention": ["companyfn"],
     "monthly_revenue": ["companyfn", "year", "month"],
-    "revenue_report_by_date": ["companyfn", "year", "month"],
+    "monthly_reach": ["companyfn", "year", "month"],
+    "revenue_report_by_date": ["companyfn"],     # renewed as a whole, a row a month
 }
 
 

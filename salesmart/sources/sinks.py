@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.sources.readers import FORMATS, SCHEMA_FILE
 
@@ -31,11 +32,20 @@ def save_dataset(df: DataFrame, path: str, fmt: str = "parquet",
     if keys:
         writer = writer.partitionBy(*keys)
     writer.save(path)
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SCHEMA_FILE}")
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    out.write(df.schema.json().encode())
+    write_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", df.schema.json())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: under another name first, then moved onto its own."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(text.encode())
     out.close()
+    options = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, target, options)
 
 
 def save_report(df: DataFrame, path: str) -> None:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from salesmart.operators import cleaning, extraction
+from salesmart.operators import cleaning, extraction, reach
 from salesmart.plans import jobs
 from salesmart.plans.lookups import attach
 from salesmart.session import cut
 from salesmart.sources.readers import load_dataset
 from salesmart.sources.sinks import save_dataset
+from salesmart.sources.snapshots import Publication, current_name, read_published
 
 MONTH = ["companyfn", "_year", "_month"]
+DOCUMENT = ["companyfn", "uniquenum_pri"]
+#: what a refresh keeps by month; the labelled revenue report is renewed with the revenue
+DATED = ("sales_trend", "sales_data", "monthly_revenue", "monthly_reach")
 ESCAPED = "\"#%'*/:=?\\\x7f{[]^"   # fixed values: written as %XX in folder names
 
 
@@ -40,8 +47,8 @@ def rows_of_months(df: DataFrame, months: DataFrame) -> DataFrame:
 
 def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, out: str,
             changed_lines: DataFrame | None = None, previous_headers: DataFrame | None = None,
-            create: bool = False) -> None:
-    """Replace the touched months of the dated datasets.
+            create: bool = False, published: bool = False, names: Sequence[str] = DATED) -> None:
+    """Replace the touched months of the dated datasets, or of those of them that ``names`` tells.
 
     ``previous_headers`` are the changed documents as they were; a document
     whose date has moved then leaves its old month as well.  Without the
@@ -52,9 +59,13 @@ def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, ou
     replaced, so earlier months and the rest of the report stay.  Running it
     again for the same changes gives the same files.  Month labels of the
     revenue report depend on all months and are renewed from the report itself.
+
+    With ``published`` the datasets in ``out`` are snapshots: they change all at
+    once, when everything is written, and are read with ``read_dataset``.
     """
     spark = headers.sparkSession
-    if not _exists(spark, f"{out}/monthly_revenue.parquet"):
+    known = current_name(spark, out) is not None if published else _exists(spark, f"{out}/monthly_revenue.parquet")
+    if not known:
         if not create:
             raise FileNotFoundError(f"no monthly_revenue in {out}: run the full job first")
         changed_headers, changed_lines = headers, lines
@@ -63,12 +74,23 @@ def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, ou
         touched = touched.unionByName(touched_months(previous_headers)).distinct()
     months = cut(touched)
     some = rows_of_months(headers, months)
-    line_months = months if changed_lines is None else cut(months.unionByName(touched_months(changed_lines)).distinct())
-    dated = {
-        "sales_trend": (cleaning.trend_calendar(extraction.sales_trend(some)), months),
-        "sales_data": (cleaning.clean_lines(extraction.sales_lines(rows_of_months(lines, line_months))), line_months),
-        "monthly_revenue": (extraction.monthly_revenue(some), months),
+
+    def sales_data() -> tuple[DataFrame, DataFrame]:
+        due = months if changed_lines is None else cut(months.unionByName(touched_months(changed_lines)).distinct())
+        return cleaning.clean_lines(extraction.sales_lines(rows_of_months(lines, due))), due
+    builders = {
+        "sales_trend": lambda: (cleaning.trend_calendar(extraction.sales_trend(some)), months),
+        "sales_data": sales_data,
+        "monthly_revenue": lambda: (extraction.monthly_revenue(some), months),
+        "monthly_reach": lambda: (reach.monthly_reach(some), months),
     }
+    dated = {name: build() for name, build in builders.items() if name in names or name == "monthly_revenue"}
+    if published:
+        _publish(spark, out, dated)
+        return
+    if "monthly_reach" in dated and not _exists(spark, f"{out}/monthly_reach.parquet"):
+        # a build from before there were sketches
+        dated["monthly_reach"] = (reach.monthly_reach(headers), touched_months(headers))
     for name, (df, due) in dated.items():
         _replace(df, f"{out}/{name}.parquet", due)
     report = load_dataset(headers.sparkSession, f"{out}/monthly_revenue.parquet")
@@ -76,6 +98,23 @@ def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, ou
                  jobs.PARTITIONS["revenue_report_by_date"], whole=True)
 
 
+def _publish(spark: SparkSession, out: str, dated: dict[str, tuple[DataFrame, DataFrame]]) -> None:
+    """Write all datasets beside the published ones, then switch to them."""
+    publication = Publication(spark, out)
+    for name, (df, due) in dated.items():
+        publication.write(name, df, jobs.PARTITIONS[name],
+                          due.withColumnsRenamed({"_year": "year", "_month": "month"}))
+    months = publication.read("monthly_revenue", jobs.PARTITIONS["monthly_revenue"])
+    name = "revenue_report_by_date"
+    publication.write(name, cleaning.revenue_levels(months), jobs.PARTITIONS[name])
+    publication.commit()
+
+
+def read_dataset(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A dataset of published refreshes, as of the last that was completed."""
+    return read_published(spark, out, name, jobs.PARTITIONS[name])
+
+
 def _replace(df: DataFrame, path: str, due: DataFrame) -> None:
     """Overwrite the partitions of ``df`` and drop due months that have no rows left."""
     df = cut(df)
@@ -139,20 +178,59 @@ def daily(headers: DataFrame, lines: DataFrame, as_of: str, out: str, model_dir:
     return jobs.train_models(retention, extraction.sales_trend(changed), model_dir, minimum=gates, **options)
 
 
-def refresh_stream(arriving: DataFrame, headers_path: str, lines: DataFrame, out: str,
-                   checkpoint: str) -> StreamingQuery:
-    """Append arriving headers to the header table and refresh their months.
+def latest_versions(log: DataFrame, version: str | None = None, deleted: str | None = None) -> DataFrame:
+    """The last version of every document in a log with a ``batch`` column.
+
+    Later is what has the greater ``version``, or without one, what arrived in a
+    later batch; ties are settled by the batch and then by the other columns, so
+    the same log always gives the same documents.  With ``deleted``, a column
+    that is true in the last version takes the document away.  One aggregate that
+    combines before its shuffle; no window.
+    """
+    others = [c for c in log.columns if c not in (version, "batch", *DOCUMENT)]
+    order = [F.col(c) for c in ((version, "batch") if version else ("batch",))]
+    newest = F.max(F.struct(*order, *[F.col(c) for c in others])).alias("_newest")
+    latest = log.groupBy(*DOCUMENT).agg(newest).select(*DOCUMENT, "_newest.*").select(*log.columns)
+    return latest.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else latest
+
+
+def _of_documents(log: DataFrame, documents: DataFrame) -> DataFrame:
+    return log.join(documents, DOCUMENT, "left_semi")
+
+
+def refresh_stream(arriving: DataFrame, headers_path: str, lines: DataFrame, out: str, checkpoint: str,
+                   version: str | None = None, deleted: str | None = None, published: bool = False,
+                   names: Sequence[str] = DATED) -> StreamingQuery:
+    """Take arriving headers into the log of versions and refresh the months they touch.
 
     One pass over what has arrived, then the query stops: start it daily.
     A batch is written under its number, so a batch that is run again after a
     failure replaces its own files and nothing is counted twice.
+
+    A document may arrive again, changed: only its last version counts
+    (``latest_versions``), and the month it lay in before is refreshed as well.
+    An older version that arrives late changes nothing.  Documents are told apart
+    by tenant and order key; one without them is left out.  Of the log, a refresh
+    reads the documents that have ever lain in a touched month.
     """
+    columns = [c for c in arriving.columns if c not in (version, deleted)]
+
     def take_in(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = cut(batch)
-        new.write.mode("overwrite").parquet(f"{headers_path}/batch={batch_id}")
-        everything = spark.read.schema(arriving.schema).parquet(headers_path)
-        refresh(everything, lines, new, out, create=True)
+        batch.write.mode("overwrite").parquet(f"{headers_path}/batch={batch_id}")
+        schema = T.StructType([*arriving.schema.fields, T.StructField("batch", T.LongType())])
+        log = spark.read.schema(schema).parquet(headers_path).where(F.col("batch") <= batch_id).dropna(
+            subset=DOCUMENT)
+        new = cut(log.where(F.col("batch") == batch_id).select(*DOCUMENT).distinct())
+        before = cut(latest_versions(_of_documents(log.where(F.col("batch") < batch_id), new), version, deleted))
+        after = cut(latest_versions(_of_documents(log, new), version, deleted))
+        known = current_name(spark, out) is not None if published else _exists(spark, f"{out}/monthly_revenue.parquet")
+        if known:
+            months = cut(touched_months(before).unionByName(touched_months(after)).distinct())
+            log = _of_documents(log, cut(rows_of_months(log, months).select(*DOCUMENT).distinct()))
+        every = latest_versions(log, version, deleted).select(*columns)
+        refresh(every, lines, after.select(*columns), out, previous_headers=before.select(*columns), create=True,
+                published=published, names=names)
 
     return (arriving.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

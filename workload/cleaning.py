@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from salesmart.functions.distinct import ERROR, distinct_count
 from salesmart.operators import cleaning as cl
+from salesmart.operators import reach
 from salesmart.plans import jobs
-from salesmart.session import shared_folder
+from salesmart.session import cut, shared_folder
 from salesmart.sources.readers import load_dataset
 from salesmart.sources.sinks import save_dataset
 from salesmart.streaming import refresh
@@ -142,11 +144,67 @@ def _(spark, sf_dir):
     for name in ("monthly_revenue", "sales_trend", "sales_data"):
         build = jobs.dataset_builders(every.where("date_trans < '2001-01-01'"), some_lines)[name]
         save_dataset(build(), f"{out}/{name}.parquet", "parquet", jobs.PARTITIONS[name], whole=True)
-    refresh.refresh(every, some_lines, every.where("date_trans >= '2001-01-01'"), out)
+    refresh.refresh(every, some_lines, every.where("date_trans >= '2001-01-01'"), out,
+                    names=("monthly_revenue", "sales_trend", "sales_data"))
     report = load_dataset(spark, f"{out}/revenue_report_by_date.parquet")
     return plain(report.select(*cl.revenue_levels(revenue(spark, sf_dir)).columns))
 
 
+@query("streamed_revenue_report", with_tables(HDR, REVENUE_SQL.replace(
+    "AND tag_void_yn = 'n'", "AND tag_void_yn = 'n' AND NOT (okey % 7 = 3 AND date_trans >= '2001-01-01')"), edges_sql("revenue", "amt_local", 3)) + f"""
+SELECT revenue.*, ['Low', 'Medium', 'High'][{bucket_sql('amt_local', 3)}] AS revenue_level
+FROM revenue JOIN edges USING (companyfn)""")
+def _(spark, sf_dir):
+    """All documents arrive, then a second day corrects a third and deletes a seventh of those from 2001 on.
+
+    What is corrected later has at first twice the amount and lies two months earlier.
+    Both days are published; the report is read as published.
+    """
+    every = headers(spark, sf_dir).withColumn("version", F.lit(2)).withColumn("gone", F.lit(False))
+    late = F.col("date_trans") >= F.lit("2001-01-01").cast("timestamp_ntz")
+    corrected, deleted = late & (F.col("idcode") % 3 == 0), late & (F.col("idcode") % 7 == 3)
+    first = every.withColumns({
+        "version": F.lit(1), "amount_local": F.when(corrected, F.col("amount_local") * 2).otherwise(
+            F.col("amount_local")).cast(every.schema["amount_local"].dataType),
+        "date_trans": F.when(corrected, F.col("date_trans") - F.expr("INTERVAL 2 MONTHS")).otherwise(F.col("date_trans"))})
+    second = every.where(corrected | deleted).withColumn("gone", deleted)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    every_line = lines(spark, sf_dir)
+    for day in (first, second):
+        day.write.mode("append").parquet(f"{folder}/inbox")
+        arriving = spark.readStream.schema(every.schema).parquet(f"{folder}/inbox")
+        refresh.refresh_stream(arriving, f"{folder}/log", every_line, f"{folder}/out", f"{folder}/checkpoint",
+                               version="version", deleted="gone", published=True,
+                               names=["monthly_revenue"]).awaitTermination()
+    report = refresh.read_dataset(spark, f"{folder}/out", "revenue_report_by_date")
+    return plain(report.select(*cl.revenue_levels(revenue(spark, sf_dir)).columns))
+
+
+@query("monthly_reach_by_year", with_tables(HDR) + """
+SELECT companyfn, year(date_trans) AS year, COUNT(DISTINCT party_unique) AS customers,
+  COUNT(DISTINCT uniquenum_pri) AS orders, 1 AS near, 1 AS merged_is_whole
+FROM hdr WHERE tag_void_yn = 'n' GROUP BY ALL""")
+def _(spark, sf_dir):
+    """Exact numbers a year; whether the merged sketches of its months, and one of the whole year, come near them."""
+    valid = headers(spark, sf_dir, ["companyfn", "date_trans", "party_unique", "uniquenum_pri", "staff_code", "tag_void_yn"])
+    months = cut(reach.monthly_reach(valid))
+    merged = reach.reach(months)
+    year = valid.where("tag_void_yn = 'n'").groupBy("companyfn", F.year("date_trans").alias("year"))
+    exact = year.agg(F.countDistinct("party_unique").alias("exact_customers"),
+                     F.countDistinct("uniquenum_pri").alias("exact_orders"))
+    whole = year.agg(distinct_count("party_unique", True).alias("whole_customers"),
+                     distinct_count("uniquenum_pri", True).alias("whole_orders"))
+
+    def close(a, b):
+        return F.abs(F.col(a) - F.col(b)) <= F.lit(ERROR) * F.col(b)
+    near = close("customers", "exact_customers") & close("orders", "exact_orders")
+    same = close("customers", "whole_customers") & close("orders", "whole_orders")
+    keys = ["companyfn", "year"]
+    return plain(merged.join(exact, keys).join(whole, keys).select(
+        *keys, F.col("exact_customers").alias("customers"), F.col("exact_orders").alias("orders"),
+        near.cast("int").alias("near"), same.cast("int").alias("merged_is_whole")))
+
+
 @query("saved_and_loaded", with_tables(HDR) + """
 SELECT fmt, companyfn, stored, COUNT(*) AS n, MIN(dnum_auto) AS first_code
 FROM (SELECT *, CASE WHEN okey % 2 = 0 THEN '001' ELSE '1' END AS stored FROM hdr)

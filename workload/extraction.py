@@ -20,6 +20,9 @@ FACT_HEADER_COLUMNS = RETENTION_COLUMNS + ["deptunit_code", "staff_code"]
 FACT_LINE_COLUMNS = ["uniquenum_pri", "stkcode_code", "stkcode_desc", "stkcate_code",
                      "stkcate_desc", "brand_code", "brand_desc", "qnty_total", "price_unitrate_local",
                      "amount_local", "tag_void_yn"]
+# lines belong to the tenant of their header, which is not asked for a second time
+DETAIL_HEADERS = [*ex.DETAIL_SHARED_COLUMNS, *ex.DETAIL_HEADER_COLUMNS]
+DETAIL_LINES = ["uniquenum_pri", *ex.DETAIL_LINE_COLUMNS, "amount_forex", "amount_local", "notes_memo", "tag_void_yn"]
 PRODUCT_HEADER_COLUMNS = ["uniquenum_pri", "companyfn", "tag_table_usage", "party_unique", "date_trans", "tag_void_yn"]
 PRODUCT_LINE_COLUMNS = FACT_LINE_COLUMNS + ["stkvendor_code", "stkvendor_desc"]
 
@@ -204,7 +207,7 @@ FROM hdr m JOIN lin d ON m.uniquenum_pri = d.uniquenum_pri AND m.companyfn = d.c
 WHERE m.tag_void_yn = 'n' AND d.tag_void_yn = 'n'
   AND m.tag_table_usage IN ('sal_soe', 'sal_soc', 'sal_inv')""")
 def _(spark, sf_dir):
-    return plain(ex.sales_with_details(headers(spark, sf_dir), lines(spark, sf_dir),
+    return plain(ex.sales_with_details(headers(spark, sf_dir, DETAIL_HEADERS), lines(spark, sf_dir, DETAIL_LINES),
                                        transaction_types=ex.ORDER_TYPES))
 
 

@@ -24,6 +24,22 @@ PROMPTS_SQL = """prompts AS (
   FROM hdr)"""
 
 
+# fixed values: the words that route a prompt, stated here again so that the SQL does not lean on the code it checks
+WORDS = {
+    "shortcut": "triển vọng; xu hướng; tương lai; sắp tới; tiềm năng; top 10; trend; potential; forecast; "
+                "potential products; top products; top 10 products",
+    "customer": "customer; purchase; repurchase; churn; retention; active customers; average order; repeat customer; "
+                "order value",
+    "product": "product; item; goods; bestseller; potential products; top products; best selling",
+    "trend": "trend; over time; monthly; yearly; growth; sales trends; monthly sales",
+    "forecast": "forecast; predict; future; projection; plan; next 30 days; sales forecast",
+    "revenue": "revenue report; revenue by date; revenue date; revenue by month; show me revenue; revenue for",
+    "data": "customer; product; sales; trend; forecast; churn; analysis; top; bestseller; revenue; order; month; year; "
+            "date; daily; monthly; yearly; period; january; february; march; april; may; june; july; august; september; "
+            "october; november; december; triển vọng; xu hướng; phổ biến; nổi bật; tương lai; sắp tới; hot trend; tiềm năng",
+}
+
+
 def any_word(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
@@ -39,14 +55,14 @@ def tags_sql(source: str) -> str:
     """Routing of ``source`` (columns key..., prompt), words matched one by one."""
     return f"""low AS (SELECT *, lower(prompt) AS low FROM {source}),
 hits AS (SELECT *, list_filter([
-    CASE WHEN regexp_matches(low, '{DATED_RE}') OR {any_word(pr.REVENUE_WORDS)}
+    CASE WHEN regexp_matches(low, '{DATED_RE}') OR {any_word(WORDS['revenue'].split('; '))}
       OR regexp_matches(low, '(^|\\s)\\d{{4}}(\\s|$)') THEN 'revenue_report_by_date' END,
-    CASE WHEN {any_word(pr.CUSTOMER_WORDS)} THEN 'customer_analysis' END,
-    CASE WHEN {any_word(pr.PRODUCT_WORDS)} THEN 'product_analysis' END,
-    CASE WHEN {any_word(pr.TREND_WORDS)} THEN 'sales_trend' END,
-    CASE WHEN {any_word(pr.FORECAST_WORDS)} THEN 'sales_forecast' END], lambda x: x IS NOT NULL) AS found FROM low),
+    CASE WHEN {any_word(WORDS['customer'].split('; '))} THEN 'customer_analysis' END,
+    CASE WHEN {any_word(WORDS['product'].split('; '))} THEN 'product_analysis' END,
+    CASE WHEN {any_word(WORDS['trend'].split('; '))} THEN 'sales_trend' END,
+    CASE WHEN {any_word(WORDS['forecast'].split('; '))} THEN 'sales_forecast' END], lambda x: x IS NOT NULL) AS found FROM low),
 tagged AS (SELECT * EXCLUDE (low, found),
-    CASE WHEN {any_word(pr.PRODUCT_TREND_WORDS)} THEN 'product_trend_analysis' ELSE 'insights' END AS route,
+    CASE WHEN {any_word(WORDS['shortcut'].split('; '))} THEN 'product_trend_analysis' ELSE 'insights' END AS route,
     CASE WHEN len(found) = 0 THEN 'general' ELSE array_to_string(found, ',') END AS targets,
     CASE WHEN NOT list_contains(found, 'customer_analysis') THEN NULL WHEN {any_word(['top', 'most', 'best'])} THEN 'top'
       WHEN {any_word(['repeat', 'return'])} THEN 'repeat' WHEN {any_word(['segment'])} THEN 'segment'
@@ -57,7 +73,7 @@ tagged AS (SELECT * EXCLUDE (low, found),
     CASE WHEN NOT list_contains(found, 'sales_trend') THEN NULL WHEN {any_word(['monthly'])} THEN 'monthly'
       WHEN {any_word(['quarter'])} THEN 'quarterly' WHEN {any_word(['day'])} THEN 'weekday'
       ELSE 'overview' END AS trend_view,
-    CASE WHEN {any_word(pr.DATA_WORDS)} THEN 1 ELSE 0 END AS is_data_question
+    CASE WHEN {any_word(WORDS['data'].split('; '))} THEN 1 ELSE 0 END AS is_data_question
   FROM hits)"""
 
 
