@@ -12,7 +12,7 @@ it again and nothing is compressed twice.
 
 Null texts count as empty; an empty text has no frames.  Ids may be null (they
 count as the empty text in the draw) and may repeat; equal texts under one id
-are cut alike.  Columns of the input named like the results are refused.
+are cut alike.  Other columns stay; those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ LEVEL = 3
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 FRAMES = T.ArrayType(T.StructType([
     T.StructField("first", T.LongType()), T.StructField("units", T.LongType()), T.StructField("data", T.BinaryType())]))
-RESULTS = ("n", "frames", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+RESULTS = ("n", "frames", "marked", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 Frame = tuple[int, int, bytes]      # code points before it, in it, and its zstandard frame
 
@@ -171,11 +171,8 @@ def store(docs: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
 
     ``marked`` tells whether the text holds one of the marks.
     """
-    taken = [c for c in docs.columns if c.lower() in RESULTS or c.lower() == "marked"]
-    if taken:
-        raise ValueError(f"columns named like results: {taken}")
     ship(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c != "text" and c.lower() not in RESULTS]
     text = F.coalesce("text", F.lit(""))
     marked = F.lit(False)
     for mark in (PREFIX, SUFFIX, MIDDLE):

@@ -14,7 +14,7 @@ Python on any executor and no shuffle.  Repeated windows are found by sorting
 a text's windows and comparing neighbours, about 200 bytes a word of one text.
 
 Null and empty texts have no words and fail the base.  Rows may repeat.  Other
-columns stay, whatever their names; those named like results are refused.
+columns stay; those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesmart.llm.common import apart
 from salesmart.session import cut
 
 # fixed values: what separates words, and what counts as a symbol
@@ -146,7 +147,7 @@ def profile(docs: DataFrame, rules: dict[str, Column] | None = None, rows: int =
 
 
 def best_order(profiled: dict[str, tuple[float, float]]) -> list[str]:
-    """Rules by rejections per second, most first; ties by name."""
+    """Rules by rejections per second, most first; the cheaper of equal ones first, then by name."""
     return sorted(profiled, key=lambda name: (-profiled[name][1] / profiled[name][0], profiled[name][0], name))
 
 
@@ -155,9 +156,9 @@ def apply_rules(docs: DataFrame, rules: dict[str, Column] | None = None, order:
 
     Without ``order`` the rules are measured on a sample first.
     """
-    taken = [c for c in docs.columns if c.lower() in RESULTS or c in ("_words", "_lines", "_text")]
-    if taken:
-        raise ValueError(f"columns named like results: {taken}")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULTS])
+    names = docs.columns
+    docs = apart(docs)      # a column may be called like a helper
     rules = rules or default_rules()
     order = order or best_order(profile(docs, rules))
     if sorted(order) != sorted(rules):
@@ -168,5 +169,5 @@ def apply_rules(docs: DataFrame, rules: dict[str, Column] | None = None, order:
         cascade = cascade.when(rules[name], F.lit(name))
     text = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
     rows = measured(text).withColumn("base_failed", base_failed()).withColumn("rejected_by", cascade)
-    rest = [F.col("_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col("_text" if c == "text" else f"`{c}`").alias(name) for c, name in zip(docs.columns, names)]
     return rows.select(*rest, *MEASURES, "base_failed", "rejected_by", F.col("rejected_by").isNull().alias("kept"))

@@ -186,8 +186,9 @@ def test_very_long_text_and_empty_table(spark, nothing):
     row = frames.digests(frames.fill_in_middle(frames.draw(frames.store(docs)))).first()
     assert (row.n, row.output_sha256, row.restored_sha256) == (len(text), sha(filled(1, text)[3]), sha(text))
     assert frames.digests(frames.fill_in_middle(frames.draw(frames.store(nothing)))).count() == 0
-    with pytest.raises(ValueError):
-        frames.store(docs.withColumn("frames", F.lit(1)))
+    clashing = docs.withColumns({"frames": F.lit(1), "N": F.lit(2), "first": F.lit(3), "marked": F.lit(4)})
+    again = frames.digests(frames.fill_in_middle(frames.draw(frames.store(clashing)))).first()
+    assert (again["n"], again["first"], again["output_sha256"]) == (row.n, 3, row.output_sha256)
 
 
 # -- rules ----------------------------------------------------------------------
@@ -250,13 +251,17 @@ def test_every_rule_rejects_and_order_changes_no_verdict(spark):
 
 def test_order_is_by_rejections_per_second():
     assert rules.best_order({"dear": (4.0, .4), "cheap": (.1, .2), "never": (.1, 0.), "tie": (1.0, .1)}) == [
-        "cheap", "dear", "tie", "never"]
+        "cheap", "tie", "dear", "never"]
 
 
 def test_rules_on_odd_tables(spark, odd, nothing):
     assert rules.apply_rules(nothing).count() == 0
-    with pytest.raises(ValueError):
-        rules.apply_rules(odd.withColumn("Kept", F.lit(1)))
+    order = list(rules.default_rules())
+    clashing = odd.withColumns({"Kept": F.lit(1), "_words": F.lit("w"), "n_words": F.lit("x"), "_text": F.lit("t")})
+    got = rules.apply_rules(clashing, order=order)
+    assert got.columns == [*odd.columns, "_words", "_text", *rules.MEASURES, "base_failed", "rejected_by", "kept"]
+    assert Counter(map(str, got.drop("_words", "_text").collect())) == Counter(
+        map(str, rules.apply_rules(odd, order=order).collect()))
     with pytest.raises(ValueError):
         rules.apply_rules(odd, order=["symbols"])
     long = spark.createDataFrame([("word%d next " % 1 * 300_000,)], "text string")
