@@ -4,8 +4,11 @@ its physical plan holds nothing that would not scale."""
 import pytest
 
 import __spark_entry__ as contract
+from salesmart.operators.trends import recent_lines
 from workload import ORACLES, QUERIES
 from workload.check import compare, oracle
+from workload.summaries import AS_OF, RECENT_LINES
+from workload.tables import lines
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +49,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "In(o_orderpriority" in plan("table_filter_in")
     revenue = plan("revenue_month")
     assert "c_name" not in revenue and "region.parquet" not in revenue and "lineitem" not in revenue
-    assert "GreaterThanOrEqual(l_shipdate" in plan("market_overview")
+    # the lines behind market_overview are collapsed and written when it is built
+    assert "GreaterThanOrEqual(l_shipdate" in plan_of(recent_lines(lines(spark, sf_dir, RECENT_LINES), AS_OF))
     assert "part.parquet" not in plan("customer_summary")
     top = plan("top_customers")
     assert "part.parquet" not in top and "supplier.parquet" not in top and top.count("orders.parquet") == 1
