@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from salesmart.operators import features, models
@@ -42,7 +47,8 @@ def train_recommender(facts: DataFrame, rank: int = 10, iterations: int = 10) ->
     products = cut(_numbered(bought, ["companyfn", "product_code"], "product_number"))
     rated = bought.join(customers, ["companyfn", "customer_id"]).join(products, ["companyfn", "product_code"])
     als = ALS(userCol="customer_number", itemCol="product_number", ratingCol="quantity", implicitPrefs=True,
-              rank=rank, maxIter=iterations, seed=models.SEED, coldStartStrategy="drop")
+              rank=rank, maxIter=iterations, seed=models.SEED, coldStartStrategy="drop",
+              checkpointInterval=2)   # a checkpoint lets go of what the iterations before it have shuffled
     return als.fit(cut(rated)), customers, products
 
 
@@ -78,12 +84,18 @@ def candidates(facts: DataFrame, per_category: int = 20) -> DataFrame:
         "companyfn", "customer_id", "product_code", "category_name", "buyers", "popularity")
 
 
+#: customers of a tenant that one scoring call looks at, about
+CHUNK_ROWS = 32_768
+#: customers and products whose scores are held at a time
+TILE = (256, 2048)
+
+
 def _norm(factors: Column) -> Column:
     return F.sqrt(F.aggregate(factors, F.lit(0.0), lambda total, x: total + x * x))
 
 
 def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame, n: int = 5,
-                  block_rows: int = 256) -> DataFrame:
+                  block_rows: int = 32_768) -> DataFrame:
     """The ``n`` products of the largest inner product that a customer has not bought, of all the tenant's.
 
     ``customers`` and ``products`` hold one array ``factors`` per (companyfn,
@@ -92,33 +104,37 @@ def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame,
     ``min(n, unbought)`` rows.  Nothing is approximate and no category is cut.
 
     A tenant's products are sorted by the length of their factors and dealt into
-    blocks of ``block_rows``.  No product of a block can score more than the
-    customer's length times the block's longest (Cauchy-Schwarz), so a customer
-    whose n-th score is higher is done: with this block and with all after it.
-    Each round takes four times as many blocks as all before, so the rounds grow
-    with the logarithm of the products.  Customers meet the blocks they need by
-    an equi-join on (tenant, block); a block's products are one row, and of the
-    scores in it only the best ``n`` leave the row.
+    blocks of ``block_rows``, its customers into chunks of ``CHUNK_ROWS``.  No
+    product of a block can score more than the customer's length times the
+    block's longest (Cauchy-Schwarz), so a customer whose n-th score is higher
+    is done: with this block and with all after it.  Each round takes four times
+    as many blocks as all before, so the rounds grow with the logarithm of the
+    products.  Chunks and blocks meet in a grouping: a customer's factors are
+    dealt out once a block, a product's once a chunk, and only products that
+    come among a customer's best leave the task.
     """
-    placed = with_position(products.select("companyfn", "product_code", F.col("factors").cast("array<double>"))
+    placed = with_position(products.where(F.col("companyfn").isNotNull())
+                           .select("companyfn", "product_code", F.col("factors").cast("array<double>"))
                            .withColumn("_long", _norm(F.col("factors"))), ["companyfn"],
                            [F.desc("_long"), F.col("product_code")])
     placed = cut(placed.withColumn("_block", F.expr(f"{INDEX} div {block_rows}")).drop(INDEX, SIZE))
-    # a block's rows are bounded by ``block_rows``
-    blocks = cut(placed.groupBy("companyfn", "_block").agg(
-        F.collect_list(F.struct("product_code", "factors")).alias("_products"), F.max("_long").alias("_longest")))
-    limits = cut(blocks.select("companyfn", "_block", "_longest"))
-    skipped = cut(bought.select("companyfn", "customer_id", "product_code").distinct()
-                  .join(placed.select("companyfn", "product_code", "_block"), ["companyfn", "product_code"])
-                  .groupBy("companyfn", "customer_id", "_block").agg(F.collect_list("product_code").alias("_bought")))
+    limits = cut(placed.groupBy("companyfn", "_block").agg(F.max("_long").alias("_longest")))
 
     key = ["companyfn", "customer_id"]
-    waiting = cut(customers.select(*key, F.col("factors").cast("array<double>").alias("_mine")).withColumns({
+    mine = cut(customers.select(*key, F.col("factors").cast("array<double>").alias("_mine")))
+    chunks = cut(mine.groupBy("companyfn").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("_chunks")))
+    # a customer without an identifier has no known purchases and stays in the first chunk with some others
+    chunk = F.pmod(F.xxhash64("customer_id"), F.col("_chunks"))
+    skipped = cut(bought.select("companyfn", "customer_id", "product_code").distinct()
+                  .join(placed.select("companyfn", "product_code", "_block"), ["companyfn", "product_code"])
+                  .where(F.col("customer_id").isNotNull()).join(chunks, "companyfn")
+                  .withColumn("_chunk", chunk).drop("_chunks"))
+    waiting = cut(mine.join(chunks, "companyfn").withColumn("_chunk", chunk).drop("_chunks").withColumns({
         "_reach": _norm(F.col("_mine")), "_least": F.lit(None).cast("double")}))
     best, first, last = None, 0, 1
     total = limits.agg(F.max("_block")).first()[0]
     while total is not None and first <= total:
-        found = _best_of_blocks(waiting, blocks, skipped, first, last, n)
+        found = _best_of_blocks(waiting, (placed, limits), skipped, first, last, n)
         found = found if best is None else best.unionByName(found)
         order = W.partitionBy(*key).orderBy(F.desc("purchase_score"), "product_code")
         best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank"))
@@ -139,24 +155,103 @@ def _may_reach(reach: Column, longest: Column, least: Column) -> Column:
     return least.isNull() | (reach * longest * (1 + 1e-9) + 1e-300 >= least)
 
 
-def _best_of_blocks(waiting: DataFrame, blocks: DataFrame, skipped: DataFrame, first: int, last: int,
+def _best_of_blocks(waiting: DataFrame, blocks: tuple[DataFrame, DataFrame], skipped: DataFrame, first: int, last: int,
                     n: int) -> DataFrame:
-    """The best ``n`` of each block from ``first`` on and before ``last``, for every customer who may need it."""
-    key = ["companyfn", "customer_id"]
-    needed = waiting.withColumn("_block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
-    met = needed.join(blocks.where(F.col("_block").between(first, last - 1)), ["companyfn", "_block"]).where(
+    """The best ``n`` of each block from ``first`` on and before ``last``, for every customer who may need it.
+
+    ``blocks`` are the products with their block, and the longest of each block.
+    """
+    products, limits = blocks
+    meeting, inside = ["companyfn", "_chunk", "_block"], F.col("_block").between(first, last - 1)
+    needed = waiting.join(limits.where(inside), "companyfn").where(
         _may_reach(F.col("_reach"), F.col("_longest"), F.col("_least")))
-    met = met.join(skipped, [*key, "_block"], "left")
-    free = F.filter("_products", lambda p: F.col("_bought").isNull() | ~F.array_contains("_bought", p["product_code"]))
-
-    def scored(product: Column) -> Column:
-        pairs = F.zip_with(F.col("_mine"), product["factors"], lambda a, b: a * b)
-        # the highest score first: its negative, so that ties go to the smaller code
-        return F.struct((-F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)).alias("lost"),
-                        product["product_code"].alias("product_code"))
-    top = F.slice(F.sort_array(F.transform(free, scored)), 1, n)
-    return met.select(*key, F.explode(top).alias("_top")).select(
-        *key, F.col("_top.product_code").alias("product_code"), (-F.col("_top.lost")).alias("purchase_score"))
+    # columns of their own, as both sides of the grouping come from the customers
+    dealt = products.where(inside).join(needed.select(*meeting).distinct(), ["companyfn", "_block"]).select(
+        *[F.col(c).alias(c) for c in (*meeting, "product_code", "factors")])
+    rows = needed.select(*meeting, "customer_id", "_mine", "_least").unionByName(
+        skipped.where(inside).select(*meeting, "customer_id", "product_code"), allowMissingColumns=True)
+    types = {f.name: f.dataType for f in [*waiting.schema, *products.schema]}
+    schema = T.StructType([T.StructField(c, types[c]) for c in ("companyfn", "customer_id", "product_code")])
+    # the work is in the pairs, not in the bytes: the partitions are named, so that they are not put together by size
+    parts = int(waiting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, rows = (side.repartition(parts, *meeting) for side in (dealt, rows))
+    return dealt.groupBy(*meeting).cogroup(rows.groupBy(*meeting)).applyInPandas(
+        _scorer(n), schema.add("purchase_score", T.DoubleType()))
+
+
+def _scorer(n: int, tile: tuple[int, int] = TILE) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What is done where a chunk meets a block; a closure, so that workers need not import this module."""
+    def best_of_meeting(products: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """The best ``n`` unbought products of one block for each customer of one chunk.
+
+        ``rows`` are customers, with factors, and their purchases, without.  Scores
+        are looked through in single precision, with an allowance for its error; those
+        that may count are taken again in double precision, factor by factor.
+        """
+        is_customer = rows["_mine"].notna()
+        customers = rows[is_customer].reset_index(drop=True)
+        products = products.sort_values("product_code", ignore_index=True)  # so that places are in the order of ties
+        if not len(customers) or not len(products):
+            return pd.DataFrame({"companyfn": [], "customer_id": [], "product_code": [], "purchase_score": []}, dtype=object)
+        mine, theirs = np.stack(customers["_mine"]), np.stack(products["factors"])
+        known = rows.loc[~is_customer, ["customer_id", "product_code"]].merge(
+            customers[["customer_id"]].reset_index(names="_who"), on="customer_id").merge(
+            products[["product_code"]].reset_index(names="_what"), on="product_code")[["_who", "_what"]].to_numpy()
+        known = known[np.argsort(known[:, 0], kind="stable")]
+
+        # unit lengths, so that single precision neither overflows nor loses small factors
+        reach, longest = np.linalg.norm(mine, axis=1), np.linalg.norm(theirs, axis=1).max()
+        scale = np.where(reach > 0, reach, 1.0) * (longest if longest > 0 else 1.0)
+        mine32 = (mine / np.where(reach > 0, reach, 1.0)[:, None]).astype("float32")
+        theirs32 = np.ascontiguousarray((theirs / (longest if longest > 0 else 1.0)).astype("float32").T)
+        error = (mine.shape[1] + 4) * 2.4e-7
+        lowest = np.finfo("float32").min
+        least = customers["_least"].to_numpy(dtype=float, na_value=-np.inf)
+
+        who, what, score = [], [], []
+        for start in range(0, len(mine), tile[0]):
+            stop = min(start + tile[0], len(mine))
+            held = (np.empty(0, int), np.empty(0, int), np.empty(0))    # the best so far: customer, product, score
+            floor = least[start:stop].copy()
+            mark, end = np.searchsorted(known[:, 0], (start, stop))
+            own = known[mark:end]
+            for left in range(0, len(theirs), tile[1]):
+                near = mine32[start:stop] @ theirs32[:, left:left + tile[1]]
+                here = own[(own[:, 1] >= left) & (own[:, 1] < left + near.shape[1])]
+                near[here[:, 0] - start, here[:, 1] - left] = -np.inf
+                bound = floor / scale[start:stop] - error
+                open_ended = np.flatnonzero(np.isneginf(floor))
+                if len(open_ended) and near.shape[1] > n:
+                    nth = np.partition(near[open_ended], -n, axis=1)[:, -n]
+                    bound[open_ended] = nth - 2.0 * error
+                bound = np.maximum(bound, lowest).astype("float32")
+                bound = np.nextafter(bound, np.float32(-np.inf)).clip(lowest)   # masked scores stay below
+                i, j = np.divmod(np.flatnonzero(near >= bound[:, None]), near.shape[1])
+                if not len(i):
+                    continue
+                exact = np.zeros(len(i))
+                for k in range(mine.shape[1]):
+                    exact += mine[start + i, k] * theirs[left + j, k]
+                keep = exact >= floor[i]
+                i, j, exact = (np.concatenate(pair) for pair in zip(held, (i[keep], left + j[keep], exact[keep])))
+                order = np.lexsort((j, -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                held = tuple(x[rank < n] for x in (i, j, exact))
+                full = rank == n - 1
+                floor[i[full]] = np.maximum(floor[i[full]], exact[full])
+            who.append(start + held[0])
+            what.append(held[1])
+            score.append(held[2])
+        who, what = np.concatenate(who), np.concatenate(what)
+
+        def taken(column: pd.Series, places: np.ndarray) -> pd.Series:
+            return pd.Series(column.astype(object).where(column.notna(), None).to_numpy()[places], dtype=object)
+        return pd.DataFrame({"companyfn": taken(customers["companyfn"], who),
+                             "customer_id": taken(customers["customer_id"], who),
+                             "product_code": taken(products["product_code"], what),
+                             "purchase_score": np.concatenate(score)})
+    return best_of_meeting
 
 
 def learned_factors(fitted: tuple) -> tuple[DataFrame, DataFrame]:
