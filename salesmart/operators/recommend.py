@@ -138,7 +138,7 @@ def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame,
         found = found if best is None else best.unionByName(found)
         order = W.partitionBy(*key).orderBy(F.desc("purchase_score"), "product_code")
         best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank"))
-        least = best.groupBy(*key).agg(F.when(F.count(F.lit(1)) == n, F.min("purchase_score")).alias("_least"))
+        least = best.groupBy(*key).agg(F.when(F.count("purchase_score") == n, F.min("purchase_score")).alias("_least"))
         following = limits.where(F.col("_block") == last).select("companyfn", "_longest")
         waiting = cut(waiting.drop("_least").join(least, key, "left").join(following, "companyfn").where(
             _may_reach(F.col("_reach"), F.col("_longest"), F.col("_least"))).drop("_longest"))
@@ -193,7 +193,11 @@ def _scorer(n: int, tile: tuple[int, int] = TILE) -> Callable[[pd.DataFrame, pd.
         products = products.sort_values("product_code", ignore_index=True)  # so that places are in the order of ties
         if not len(customers) or not len(products):
             return pd.DataFrame({"companyfn": [], "customer_id": [], "product_code": [], "purchase_score": []}, dtype=object)
-        mine, theirs = np.stack(customers["_mine"]), np.stack(products["factors"])
+        mine, theirs = np.stack(customers["_mine"]).astype(float), np.stack(products["factors"]).astype(float)
+        # a missing factor makes a missing score, which comes after all others
+        vague, unknown = np.isnan(mine).any(axis=1), np.isnan(theirs).any(axis=1)
+        mine[vague], theirs[unknown] = 0.0, 0.0
+        places, unscored = np.arange(len(theirs)), np.flatnonzero(unknown)
         known = rows.loc[~is_customer, ["customer_id", "product_code"]].merge(
             customers[["customer_id"]].reset_index(names="_who"), on="customer_id").merge(
             products[["product_code"]].reset_index(names="_what"), on="product_code")[["_who", "_what"]].to_numpy()
@@ -219,6 +223,7 @@ def _scorer(n: int, tile: tuple[int, int] = TILE) -> Callable[[pd.DataFrame, pd.
                 near = mine32[start:stop] @ theirs32[:, left:left + tile[1]]
                 here = own[(own[:, 1] >= left) & (own[:, 1] < left + near.shape[1])]
                 near[here[:, 0] - start, here[:, 1] - left] = -np.inf
+                near[vague[start:stop]], near[:, unknown[left:left + tile[1]]] = -np.inf, -np.inf
                 bound = floor / scale[start:stop] - error
                 open_ended = np.flatnonzero(np.isneginf(floor))
                 if len(open_ended) and near.shape[1] > n:
@@ -240,6 +245,14 @@ def _scorer(n: int, tile: tuple[int, int] = TILE) -> Callable[[pd.DataFrame, pd.
                 held = tuple(x[rank < n] for x in (i, j, exact))
                 full = rank == n - 1
                 floor[i[full]] = np.maximum(floor[i[full]], exact[full])
+            if len(unscored) or vague[start:stop].any():
+                short = np.flatnonzero(np.isneginf(least[start:stop]) & (np.bincount(held[0], minlength=stop - start) < n))
+                for i in short:
+                    known_here = own[own[:, 0] == start + i, 1]
+                    left_over = n - np.count_nonzero(held[0] == i)
+                    pool = (places if vague[start + i] else unscored)[:left_over + len(known_here)]
+                    more = np.setdiff1d(pool, known_here)[:left_over]
+                    held = tuple(np.concatenate(x) for x in zip(held, (np.full(len(more), i), more, np.full(len(more), np.nan))))
             who.append(start + held[0])
             what.append(held[1])
             score.append(held[2])
@@ -250,7 +263,7 @@ def _scorer(n: int, tile: tuple[int, int] = TILE) -> Callable[[pd.DataFrame, pd.
         return pd.DataFrame({"companyfn": taken(customers["companyfn"], who),
                              "customer_id": taken(customers["customer_id"], who),
                              "product_code": taken(products["product_code"], what),
-                             "purchase_score": np.concatenate(score)})
+                             "purchase_score": np.concatenate(score)})   # NaN goes back as null
     return best_of_meeting
 
 
