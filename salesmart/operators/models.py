@@ -184,7 +184,7 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, keys: S
     """Random forest or logistic regression with weighted metrics."""
     if algorithm == "random_forest":
         estimator = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees,
-                                           maxDepth=max_depth, seed=SEED)
+                                           maxDepth=max_depth, seed=SEED, cacheNodeIds=True)
     elif algorithm == "logistic_regression":
         estimator = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, maxIter=1000)
     else:
@@ -203,7 +203,7 @@ def train_regressor(df: DataFrame, features: Sequence[str], target: str, keys: S
     """Random forest or linear regression with squared, absolute and R2 figures."""
     if algorithm == "random_forest":
         estimator = RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, numTrees=num_trees,
-                                          maxDepth=max_depth, seed=SEED)
+                                          maxDepth=max_depth, seed=SEED, cacheNodeIds=True)
     elif algorithm == "linear_regression":
         estimator = LinearRegression(featuresCol=FEATURES, labelCol=LABEL)
     else:
