@@ -45,10 +45,16 @@ def churn_forest(spark, sf_dir):
     return churn.train_churn(churn_data(spark, sf_dir))
 
 
+@lru_cache(maxsize=2)
+def written_history(spark, sf_dir):
+    """Written once in a session: training, the calendar ahead and the means are all of these days."""
+    return cut(history(spark, sf_dir))
+
+
 @lru_cache(maxsize=2)
 def forecast_forest(spark, sf_dir):
     """Trained once in a session, the tenant a feature; the folds are left to ``forecast_metrics``."""
-    return forecast.train_forecast(forecast.prepare_forecast(history(spark, sf_dir)), categorical=["companyfn"],
+    return forecast.train_forecast(forecast.prepare_forecast(written_history(spark, sf_dir)), categorical=["companyfn"],
                                    folds=0)
 
 
@@ -149,7 +155,7 @@ def _(spark, sf_dir):
 
 
 def forecasted(spark, sf_dir):
-    past = history(spark, sf_dir)
+    past = written_history(spark, sf_dir)
     return past, forecast.forecast(forecast_forest(spark, sf_dir).model, past)
 
 
