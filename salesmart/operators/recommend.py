@@ -85,7 +85,11 @@ def candidates(facts: DataFrame, per_category: int = 20) -> DataFrame:
 
 
 #: customers of a tenant that one scoring call looks at, about
-CHUNK_ROWS = 32_768
+CHUNK_ROWS = 131_072
+#: customers whose blocks are chosen in one call, about
+CHOICE_ROWS = 8_192
+#: blocks that one task cuts out of a slab, about
+SLAB_BLOCKS = 64
 #: customers and products whose scores are held at a time
 TILE = (256, 2048)
 
@@ -94,8 +98,12 @@ def _norm(factors: Column) -> Column:
     return F.sqrt(F.aggregate(factors, F.lit(0.0), lambda total, x: total + x * x))
 
 
+def _unknown(factors: Column) -> Column:
+    return F.exists(factors, lambda x: x.isNull() | F.isnan(x))
+
+
 def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame, n: int = 5,
-                  block_rows: int = 32_768) -> DataFrame:
+                  block_rows: int = 4_096) -> DataFrame:
     """The ``n`` products of the largest inner product that a customer has not bought, of all the tenant's.
 
     ``customers`` and ``products`` hold one array ``factors`` per (companyfn,
@@ -103,25 +111,24 @@ def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame,
     holds the pairs to leave out.  Ties go to the smaller code.  A customer gets
     ``min(n, unbought)`` rows.  Nothing is approximate and no category is cut.
 
-    A tenant's products are sorted by the length of their factors and dealt into
-    blocks of ``block_rows``, its customers into chunks of ``CHUNK_ROWS``.  No
-    product of a block can score more than the customer's length times the
-    block's longest (Cauchy-Schwarz), so a customer whose n-th score is higher
-    is done: with this block and with all after it.  Each round takes four times
-    as many blocks as all before, so the rounds grow with the logarithm of the
-    products.  Chunks and blocks meet in a grouping: a customer's factors are
-    dealt out once a block, a product's once a chunk, and only products that
-    come among a customer's best leave the task.
+    A tenant's products are dealt into blocks of near factors (``_in_blocks``), its
+    customers into chunks of ``CHUNK_ROWS``.  What a block's products can score at
+    most follows from their bounds in each factor and from their length
+    (``_chooser``).  A customer meets the block that promises most, and from then on
+    only blocks that promise more than their n-th score, or as much from a smaller
+    code.  Those that have bought too much of a block to find ``n`` there meet 16, 256
+    ... blocks, so the rounds grow with the logarithm of the blocks.  Chunks and blocks meet in a
+    grouping: a customer's factors are dealt out once a block, a product's once a
+    chunk, and only products that come among a customer's best leave the task.
     """
-    placed = with_position(products.where(F.col("companyfn").isNotNull())
-                           .select("companyfn", "product_code", F.col("factors").cast("array<double>"))
-                           .withColumn("_long", _norm(F.col("factors"))), ["companyfn"],
-                           [F.desc("_long"), F.col("product_code")])
-    placed = cut(placed.withColumn("_block", F.expr(f"{INDEX} div {block_rows}")).drop(INDEX, SIZE))
-    limits = cut(placed.groupBy("companyfn", "_block").agg(F.max("_long").alias("_longest")))
-
     key = ["companyfn", "customer_id"]
     mine = cut(customers.select(*key, F.col("factors").cast("array<double>").alias("_mine")))
+    vague, scored = mine.where(_unknown(F.col("_mine"))), mine.where(~_unknown(F.col("_mine")))
+    products = products.where(F.col("companyfn").isNotNull()).select(
+        "companyfn", "product_code", F.col("factors").cast("array<double>"))
+    placed = cut(_in_blocks(products, scored, block_rows))
+    limits = cut(_limits(placed))
+
     chunks = cut(mine.groupBy("companyfn").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("_chunks")))
     # a customer without an identifier has no known purchases and stays in the first chunk with some others
     chunk = F.pmod(F.xxhash64("customer_id"), F.col("_chunks"))
@@ -129,47 +136,210 @@ def best_unbought(customers: DataFrame, products: DataFrame, bought: DataFrame,
                   .join(placed.select("companyfn", "product_code", "_block"), ["companyfn", "product_code"])
                   .where(F.col("customer_id").isNotNull()).join(chunks, "companyfn")
                   .withColumn("_chunk", chunk).drop("_chunks"))
-    waiting = cut(mine.join(chunks, "companyfn").withColumn("_chunk", chunk).drop("_chunks").withColumns({
-        "_reach": _norm(F.col("_mine")), "_least": F.lit(None).cast("double")}))
-    best, first, last = None, 0, 1
-    total = limits.agg(F.max("_block")).first()[0]
-    while total is not None and first <= total:
-        found = _best_of_blocks(waiting, (placed, limits), skipped, first, last, n)
-        found = found if best is None else best.unionByName(found)
+    waiting = cut(scored.join(chunks, "companyfn").withColumn("_chunk", chunk).drop("_chunks").withColumns({
+        "_least": F.lit(None).cast("double"), "_code": F.lit(None).cast(placed.schema["product_code"].dataType)}))
+    meeting, best, first, last = waiting, None, 0, 1
+    while True:
+        found = _best_of_blocks(meeting, (placed, limits), skipped, first, last, n)
+        found = found if best is None else best.drop("rank").unionByName(found)
         order = W.partitionBy(*key).orderBy(F.desc("purchase_score"), "product_code")
-        best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank"))
-        least = best.groupBy(*key).agg(F.when(F.count("purchase_score") == n, F.min("purchase_score")).alias("_least"))
-        following = limits.where(F.col("_block") == last).select("companyfn", "_longest")
-        waiting = cut(waiting.drop("_least").join(least, key, "left").join(following, "companyfn").where(
-            _may_reach(F.col("_reach"), F.col("_longest"), F.col("_least"))).drop("_longest"))
-        if waiting.isEmpty():
+        best = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n))
+        # who had an n-th score before this round has met all that may reach it
+        nth = F.when(F.col("rank") == n, F.col("product_code"))
+        least = best.groupBy(*[F.col(k).alias(f"{k}_r") for k in key]).agg(
+            F.when(F.count("purchase_score") == n, F.min("purchase_score")).alias("_least"), F.max(nth).alias("_code"))
+        same = (F.col("companyfn") == F.col("companyfn_r")) & F.col("customer_id").eqNullSafe(F.col("customer_id_r"))
+        waiting = cut(waiting.where(F.col("_least").isNull()).drop("_least", "_code").join(least, same, "left")
+                      .drop("companyfn_r", "customer_id_r"))
+        first, last = last, 16 * last
+        meeting = cut(_needed(waiting, limits, first, last))
+        if meeting.isEmpty():
             break
-        first, last = last, 4 * last
-    if best is None:
-        best = waiting.select(*key, F.lit("").alias("product_code"), F.lit(0.0).alias("purchase_score")).limit(0)
-    return recommendations(best, n)
+    return best if vague.isEmpty() else best.unionByName(_first_by_code(vague, products, bought, n))
+
 
+def _in_blocks(products: DataFrame, customers: DataFrame, block_rows: int) -> DataFrame:
+    """Products with the ``_block`` they belong to: at most ``block_rows`` of a tenant with near factors.
 
-def _may_reach(reach: Column, longest: Column, least: Column) -> Column:
-    """Whether a product that long can still come among the best; ties may, and the bound is rounded up."""
-    return least.isNull() | (reach * longest * (1 + 1e-9) + 1e-300 >= least)
+    Shells by the length of the factors come first, each twice as large as the one
+    before, so that few products are as long as the longest.  A shell is sorted by the
+    factor that moves scores most and dealt into slabs, and a task cuts a slab in two,
+    by the factor that then moves scores most, until the pieces are blocks.  Equal
+    products are told apart by their codes, so a block is never larger.
+    """
+    ranked = with_position(products.withColumn("_long", _norm(F.col("factors"))), ["companyfn"],
+                           [F.desc("_long"), F.col("product_code")])
+    ranked = ranked.withColumn("_shell", F.floor(F.log2(F.expr(f"{INDEX} div {block_rows} + 1")))).drop(INDEX, SIZE)
+    size = ranked.select(F.size("factors")).first()
+    places = range(size[0] if size else 0)
+    weight = customers.groupBy("companyfn").agg(F.array(
+        *[F.avg(F.get("_mine", F.lit(k)) * F.get("_mine", F.lit(k))) for k in places]).cast("array<double>").alias("_weights"))
+    spread = ranked.where(~_unknown(F.col("factors"))).groupBy("companyfn").agg(F.array(
+        *[F.var_pop(F.get("factors", F.lit(k))) for k in places]).cast("array<double>").alias("_spread"))
+    moved = F.transform(F.arrays_zip("_weights", "_spread"), lambda x: x["_weights"] * x["_spread"])
+    weighed = cut(weight.join(spread, "companyfn", "left").select(
+        "companyfn", "_weights", F.coalesce(F.array_position(moved, F.array_max(moved)), F.lit(1)).alias("_widest")))
+    ranked = ranked.join(weighed.select("companyfn", "_widest"), "companyfn").withColumn(
+        "_along", F.get("factors", F.greatest(F.col("_widest"), F.lit(1)).cast("int") - 1)).drop("_widest", "_long")
+    along = with_position(ranked, ["companyfn", "_shell"], [F.col("_along"), F.col("product_code")])
+    slabs = F.ceil(F.col(SIZE) / (SLAB_BLOCKS * block_rows))
+    slab = F.floor(F.col(INDEX) * slabs / F.col(SIZE))
+    schema = T.StructType([*products.schema.fields, T.StructField("_block", T.LongType())])
+    return along.withColumn("_slab", slab).drop(INDEX, SIZE, "_along").join(weighed.drop("_widest"), "companyfn").groupBy(
+        "companyfn", "_shell", "_slab").applyInPandas(_cutter(block_rows), schema)
+
+
+def _cutter(block_rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What cuts a slab into blocks; a closure, as ``_scorer``."""
+    def in_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("product_code", na_position="first", ignore_index=True)
+        scale = np.sqrt(np.nan_to_num(np.asarray(rows["_weights"].iloc[0], dtype=float), posinf=1.0))
+        with np.errstate(all="ignore"):
+            near = np.nan_to_num(np.stack(rows["factors"]).astype(float)) * scale
+        block, pieces, number = np.empty(len(rows), dtype="int64"), [np.arange(len(rows))], 0
+        while pieces:
+            piece = pieces.pop()
+            if len(piece) <= block_rows:
+                block[piece] = number
+                number += 1
+                continue
+            with np.errstate(all="ignore"):
+                widest = np.argmax(np.nan_to_num(near[piece].std(axis=0))) if near.shape[1] else None
+            values = near[piece, widest] if widest is not None else np.zeros(len(piece))
+            order = np.lexsort((piece, values))
+            piece, values, half = piece[order], values[order], len(piece) // 2
+            # equal values stay together where that leaves a quarter on each side
+            edges = np.searchsorted(values, values[half], "left"), np.searchsorted(values, values[half], "right")
+            edge = min(edges, key=lambda x: abs(x - half))
+            half = edge if len(piece) <= 4 * min(edge, len(piece) - edge) else half
+            pieces += [piece[:half], piece[half:]]
+        # shells are less than 64, blocks of a slab less than rows
+        rows["_block"] = (rows["_slab"].to_numpy("int64") * 64 + rows["_shell"].to_numpy("int64")) * (1 << 32) + block
+        return rows[["companyfn", "product_code", "factors", "_block"]]
+    return in_blocks
+
+
+def _limits(placed: DataFrame) -> DataFrame:
+    """Per block the bounds of its products in each factor, the longest, and the smallest code; missing factors aside."""
+    size = placed.select(F.size("factors")).first()
+    known = placed.withColumn("_known", F.when(~_unknown(F.col("factors")), F.col("factors")))
+    places = [F.get("_known", F.lit(k)) for k in range(size[0] if size else 0)]
+    all_named = F.count("product_code") == F.count(F.lit(1))     # a product without a code comes before all others
+    return known.groupBy("companyfn", "_block").agg(
+        F.max(_norm(F.col("_known"))).alias("_longest"), F.when(all_named, F.min("product_code")).alias("_smallest"),
+        F.array(*[F.min(x) for x in places]).cast("array<double>").alias("_low"),
+        F.array(*[F.max(x) for x in places]).cast("array<double>").alias("_high"))
+
+
+def _needed(waiting: DataFrame, limits: DataFrame, first: int, last: int) -> DataFrame:
+    """Every waiting customer with the blocks they are to meet, a row each (``_chooser``)."""
+    groups = cut(waiting.groupBy("companyfn").agg(F.ceil(F.count(F.lit(1)) / CHOICE_ROWS).alias("_groups")))
+    group = F.pmod(F.xxhash64("customer_id", F.lit(1)), F.col("_groups"))
+    told = limits.join(groups, "companyfn").withColumn(
+        "_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))).drop("_groups")
+    asking = waiting.join(groups, "companyfn").withColumn("_group", group).drop("_groups")
+    # columns of their own, as both sides of the grouping know the groups
+    told = told.select(*[F.col(c).alias(c) for c in told.columns])
+    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])
+    parts = int(waiting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told, asking = (side.repartition(parts, "companyfn", "_group") for side in (told, asking))
+    schema = T.StructType([waiting.schema[c] for c in ("companyfn", "customer_id", "_chunk", "_mine", "_least")])
+    return told.groupBy("companyfn", "_group").cogroup(asking.groupBy("companyfn", "_group")).applyInPandas(
+        _chooser(first, last), schema.add("_block", T.LongType()))
+
+
+def _chooser(first: int, last: int, tile: int = 256) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What tells customers the blocks they are to meet; a closure, as ``_scorer``."""
+    def chosen(blocks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Blocks that may reach a customer's n-th score; without one, those from place ``first`` on and before ``last``.
+
+        Blocks have places by what they promise; those before ``first`` have been met.
+        A bound is summed up as a score is, factor by factor in double precision, where
+        rounding keeps the order: no product of the block scores more, not by a bit.
+        """
+        columns = ["companyfn", "customer_id", "_chunk", "_mine", "_least", "_block"]
+        if not len(blocks) or not len(rows):
+            return pd.DataFrame({c: [] for c in columns}, dtype=object)
+        coded, boxed = "_smallest" in blocks, "_low" in blocks
+        blocks = blocks.sort_values(["_smallest", "_block"] if coded else "_block", na_position="first", ignore_index=True)
+        mine, least = np.stack(rows["_mine"]).astype(float), rows["_least"].to_numpy(dtype=float, na_value=np.nan)
+        longest = blocks["_longest"].to_numpy(dtype=float, na_value=np.nan)
+        if boxed:
+            low, high = (np.stack(blocks[c]).astype(float).T for c in ("_low", "_high"))
+        upto = np.full(len(rows), len(blocks))      # blocks whose smallest code is not after the customer's n-th
+        if coded and not np.isnan(least).all():
+            named = blocks["_smallest"].dropna().to_numpy(dtype=object)
+            unnamed = len(blocks) - len(named)
+            upto = np.array([unnamed if code is None else unnamed + np.searchsorted(named, code, "right")
+                             for code in rows["_code"].astype(object).where(rows["_code"].notna(), None)])
+        who, which = [], []
+        for start in range(0, len(rows), tile):
+            q, floor = mine[start:start + tile], least[start:start + tile]
+            with np.errstate(all="ignore"):
+                bound = np.linalg.norm(q, axis=1)[:, None] * longest * (1 + 1e-9) + 1e-300
+                if boxed:
+                    total = np.zeros_like(bound)
+                    for k in range(q.shape[1]):
+                        total += np.maximum(q[:, k, None] * low[k], q[:, k, None] * high[k])
+                    bound = np.fmin(bound, total)
+            bound[np.isnan(bound)] = np.inf
+            bound[:, np.isnan(longest)] = -np.inf       # only missing factors
+            need, settled = np.zeros(bound.shape, dtype=bool), ~np.isnan(floor)
+            place = np.arange(len(blocks)) < upto[start:start + tile, None]
+            need[settled] = ((bound > floor[:, None]) | ((bound == floor[:, None]) & place))[settled]
+            if last == 1 or (first == 1 and settled.all()):
+                order = bound.argmax(axis=1)[:, None]   # the first of equals, as in the order of places
+            else:
+                order = np.argsort(-bound, axis=1, kind="stable")[:, :last]
+            np.put_along_axis(need, order[:, :first], False, axis=1)
+            i, j = np.flatnonzero(~settled)[:, None], order[~settled][:, first:]
+            need[i, j] = True
+            i, j = np.nonzero(need)
+            who.append(start + i)
+            which.append(j)
+        who, which = np.concatenate(who), np.concatenate(which)
+
+        def taken(name: str) -> pd.Series:
+            column = rows[name]
+            return pd.Series(column.astype(object).where(column.notna(), None).to_numpy()[who], dtype=object)
+        return pd.DataFrame({c: taken(c) for c in columns[:-1]} | {"_block": blocks["_block"].to_numpy("int64")[which]})
+    return chosen
+
+
+def _first_by_code(vague: DataFrame, products: DataFrame, bought: DataFrame, n: int) -> DataFrame:
+    """For customers with missing factors, whose scores are all missing: the first ``n`` unbought products by code.
+
+    A customer looks at as many products of the tenant as they have bought, and ``n`` more.
+    """
+    key = ["companyfn", "customer_id"]
+    owned = bought.select(*key, "product_code").distinct()
+    own = vague.select(*key).join(owned, key).groupBy(*key).agg(F.count(F.lit(1)).alias("_own"))
+    vague = cut(vague.select(*key).join(own, key, "left").withColumn("_deep", F.coalesce("_own", F.lit(0)) + n).drop("_own"))
+    deepest = vague.groupBy("companyfn").agg(F.max("_deep").alias("_deepest"))
+    codes = with_position(products.select("companyfn", "product_code"), ["companyfn"], [F.col("product_code")])
+    codes = cut(codes.join(deepest, "companyfn").where(F.col(INDEX) < F.col("_deepest")).drop(SIZE, "_deepest"))
+    left = vague.join(codes, "companyfn").where(F.col(INDEX) < F.col("_deep")).join(owned, [*key, "product_code"], "left_anti")
+    return recommendations(left.select(*key, "product_code", F.lit(None).cast("double").alias("purchase_score")), n)
 
 
 def _best_of_blocks(waiting: DataFrame, blocks: tuple[DataFrame, DataFrame], skipped: DataFrame, first: int, last: int,
                     n: int) -> DataFrame:
-    """The best ``n`` of each block from ``first`` on and before ``last``, for every customer who may need it.
+    """The best ``n`` of each block that a customer meets.
 
-    ``blocks`` are the products with their block, and the longest of each block.
+    ``blocks`` are the products with their block, and the limits of each block.
+    ``waiting`` holds a customer once for every ``_block`` to meet; without that column
+    they meet the blocks that promise most, from place ``first`` on and before ``last``.
     """
     products, limits = blocks
-    meeting, inside = ["companyfn", "_chunk", "_block"], F.col("_block").between(first, last - 1)
-    needed = waiting.join(limits.where(inside), "companyfn").where(
-        _may_reach(F.col("_reach"), F.col("_longest"), F.col("_least")))
+    meeting = ["companyfn", "_chunk", "_block"]
+    needed = waiting if "_block" in waiting.columns else cut(_needed(waiting, limits, first, last))
+    meetings = cut(needed.select(*meeting).distinct())
     # columns of their own, as both sides of the grouping come from the customers
-    dealt = products.where(inside).join(needed.select(*meeting).distinct(), ["companyfn", "_block"]).select(
+    dealt = products.join(meetings, ["companyfn", "_block"]).select(
         *[F.col(c).alias(c) for c in (*meeting, "product_code", "factors")])
     rows = needed.select(*meeting, "customer_id", "_mine", "_least").unionByName(
-        skipped.where(inside).select(*meeting, "customer_id", "product_code"), allowMissingColumns=True)
+        skipped.join(meetings, meeting, "left_semi").select(*meeting, "customer_id", "product_code"),
+        allowMissingColumns=True)
     types = {f.name: f.dataType for f in [*waiting.schema, *products.schema]}
     schema = T.StructType([T.StructField(c, types[c]) for c in ("companyfn", "customer_id", "product_code")])
     # the work is in the pairs, not in the bytes: the partitions are named, so that they are not put together by size
