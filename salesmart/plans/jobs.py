@@ -69,6 +69,8 @@ PARTITIONS = {
     "monthly_reach": ["companyfn", "year", "month"],
     "revenue_report_by_date": ["companyfn"],     # renewed as a whole, a row a month
 }
+# datasets with a wide row per document or line are written in so many passes where they are large
+SLICES = {"sales_data": 4}
 
 
 def extract_all(headers: DataFrame, lines: DataFrame, out: str, fmt: str = "parquet", **options) -> list[str]:
@@ -83,7 +85,7 @@ def extract_all(headers: DataFrame, lines: DataFrame, out: str, fmt: str = "parq
         if name == "revenue_report_by_date":
             months = load_dataset(headers.sparkSession, f"{out}/monthly_revenue.{fmt}")
             df = cleaning.revenue_levels(months, **{k: v for k, v in options.items() if k in ("scope", "exact")})
-        save_dataset(df, f"{out}/{name}.{fmt}", fmt, PARTITIONS[name], whole=True)
+        save_dataset(df, f"{out}/{name}.{fmt}", fmt, PARTITIONS[name], whole=True, slices=SLICES.get(name, 1))
     return list(builders)
 
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# a write then deletes what it has shuffled as it ends; else that stays until the driver collects garbage
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "salesmart", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,6 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/salesmart-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def tidy_writes(spark: SparkSession) -> Iterator[None]:
+    """Writes made within leave no shuffle files behind."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
@@ -49,7 +65,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy_writes(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -92,7 +92,7 @@ def refresh(headers: DataFrame, lines: DataFrame, changed_headers: DataFrame, ou
         # a build from before there were sketches
         dated["monthly_reach"] = (reach.monthly_reach(headers), touched_months(headers))
     for name, (df, due) in dated.items():
-        _replace(df, f"{out}/{name}.parquet", due)
+        _replace(df, f"{out}/{name}.parquet", due, jobs.SLICES.get(name, 1))
     report = load_dataset(headers.sparkSession, f"{out}/monthly_revenue.parquet")
     save_dataset(cleaning.revenue_levels(report), f"{out}/revenue_report_by_date.parquet", "parquet",
                  jobs.PARTITIONS["revenue_report_by_date"], whole=True)
@@ -115,22 +115,34 @@ def read_dataset(spark: SparkSession, out: str, name: str) -> DataFrame:
     return read_published(spark, out, name, jobs.PARTITIONS[name])
 
 
-def _replace(df: DataFrame, path: str, due: DataFrame) -> None:
-    """Overwrite the partitions of ``df`` and drop due months that have no rows left."""
-    df = cut(df)
-    save_dataset(df, path, "parquet", ["companyfn", "year", "month"])
-    kept = load_dataset(df.sparkSession, path).select(
-        "companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct()
-    fresh = df.select("companyfn", F.col("year").alias("_year"), F.col("month").alias("_month")).distinct()
+def _replace(df: DataFrame, path: str, due: DataFrame, slices: int = 1) -> None:
+    """Overwrite the partitions of ``df`` and drop due months that have no rows left.
+
+    The rows are made and written once.  Spark names the files of every write anew, so
+    a month that still has a file from before has got no rows.
+    """
+    spark = df.sparkSession
+    before = cut(_files_of_months(load_dataset(spark, path))) if _exists(spark, path) else None
+    save_dataset(df, path, "parquet", ["companyfn", "year", "month"], slices=slices)
+    if before is None:
+        return
+    stale = _files_of_months(load_dataset(spark, path)).join(before.select("_file").distinct(), "_file", "left_semi").select(
+        *MONTH).distinct()
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
     # one folder name per emptied month, usually none
-    for row in _missing(_missing(due, kept, "left_semi"), fresh, "left_anti").toLocalIterator():
+    for row in _missing(due, stale, "left_semi").toLocalIterator():
         folder = jvm.org.apache.hadoop.fs.Path("/".join(
             [path, *(f"{name}={_folder_value(v)}" for name, v in zip(("companyfn", "year", "month"), row))]))
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def _files_of_months(dataset: DataFrame) -> DataFrame:
+    """The names of the files that hold a month's rows; only partition columns are read."""
+    return dataset.select("companyfn", F.col("year").alias("_year"), F.col("month").alias("_month"),
+                          F.col("_metadata.file_path").alias("_file")).distinct()
+
+
 def _missing(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on the month, nulls being equal."""
     right = right.withColumnsRenamed({c: f"{c}_r" for c in MONTH})

@@ -143,7 +143,8 @@ def _(spark, sf_dir):
     out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     for name in ("monthly_revenue", "sales_trend", "sales_data"):
         build = jobs.dataset_builders(every.where("date_trans < '2001-01-01'"), some_lines)[name]
-        save_dataset(build(), f"{out}/{name}.parquet", "parquet", jobs.PARTITIONS[name], whole=True)
+        save_dataset(build(), f"{out}/{name}.parquet", "parquet", jobs.PARTITIONS[name], whole=True,
+                     slices=jobs.SLICES.get(name, 1))
     refresh.refresh(every, some_lines, every.where("date_trans >= '2001-01-01'"), out,
                     names=("monthly_revenue", "sales_trend", "sales_data"))
     report = load_dataset(spark, f"{out}/revenue_report_by_date.parquet")
