@@ -85,7 +85,7 @@ def candidates(facts: DataFrame, per_category: int = 20) -> DataFrame:
 
 
 #: customers of a tenant that one scoring call looks at, about
-CHUNK_ROWS = 131_072
+CHUNK_ROWS = 32_768
 #: customers whose blocks are chosen in one call, about
 CHOICE_ROWS = 8_192
 #: blocks that one task cuts out of a slab, about
